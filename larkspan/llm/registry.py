@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup
+from larkspan.llm import exact_dedup, simhash, suffix_dedup
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
