@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from importlib import import_module
+
+from larkspan.catalog import ORACLE_SQL, QUERIES
+
+#: Importing a plan module registers its queries.
+PLANS = ("relational", "ranking")
+
+for _name in PLANS:
+    import_module(f"larkspan.plans.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
