@@ -79,7 +79,7 @@ def whole_copies(groups: DataFrame, most: int) -> DataFrame:
     return groups.groupBy("source").applyInPandas(run, "source string, size long, rows long, first long, copies long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_mark: bool = False) -> DataFrame:
     """One row per row of `docs`: id, size, source_size, target, copies, taken.
 
     Size is the number of words. All rates of a source are equal in the end, as no document has a prior of its own; they
@@ -92,7 +92,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     columns are not read; an empty table gives an empty result.
     """
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD_PATTERN)).cast("long")
-    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
+    mark = F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col)) if with_mark else F.lit(0).cast("long")
+    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc"), mark.alias("mark"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
     masses = materialize(sized.groupBy("source").agg(F.sum("size").alias("words")).withColumn("prior", F.lit(1.0)), "masses")
     targets = target_sizes(masses.select("source", F.col("words").alias("source_size")), weights, share, most)
     duals = solve_rates(masses, targets, most)
@@ -106,10 +107,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     out = placed.join(copies, placed["source"].eqNullSafe(copies["of"]) & (placed["size"] == copies["of_size"])).drop("of", "of_size")
     out = out.join(quotas, out["source"].eqNullSafe(quotas["of"]))
     number = F.expr("cast(((place - first + 1) * copies) div rows - ((place - first) * copies) div rows as int)")
-    out = out.select(F.col("doc").alias(id_col), "size", "source_size", "target", number.alias("copies"))
+    out = out.select(F.col("doc").alias(id_col), "size", "source_size", "target", number.alias("copies"), *(["mark"] if with_mark else []))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of `docs`, each as many times as `mix` says, with all their columns.
+
+    Rows find their copies by id and text; rows that repeat both share what they get, rounded up.
+    """
+    own, text = F.col(id_col).cast("long"), text_or_empty(text_col)
+    shares = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, with_mark=True, **options)
+    shares = shares.groupBy("mark").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    shares = shares.select(F.col("mark").alias("_mix_mark"), F.ceil(F.col("all") / F.col("rows")).cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
+    joined = docs.join(shares, F.xxhash64(own, text) == F.col("_mix_mark"))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
+
+
 def ranked(sized: DataFrame) -> DataFrame:
     """Adds place: the number, from 1, of the row among its source's by size and id, by prefix sums over partitions."""
     dealt = sized.repartitionByRange("source", "size", "doc").sortWithinPartitions("source", "size", "doc")
@@ -118,7 +132,7 @@ def ranked(sized: DataFrame) -> DataFrame:
     sums = dealt.groupBy("source", "part").agg(F.count("*").alias("rows"))
     before = sums.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rows")
     local = dealt.withColumn("local", F.row_number().over(window))
-    return local.join(before, (local["part"] == before["part"]) & local["source"].eqNullSafe(before["source"])).select(local["doc"], local["source"], "size", (F.col("local") + F.col("before")).alias("place"))
+    return local.join(before, (local["part"] == before["part"]) & local["source"].eqNullSafe(before["source"])).select(local["doc"], local["mark"], local["source"], "size", (F.col("local") + F.col("before")).alias("place"))
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

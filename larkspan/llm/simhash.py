@@ -264,5 +264,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` whose id is that of their component, with all their columns: one document of each group.
+
+    Rows that share an id are one document. Where a component has no id but null, its rows stay.
+    """
+    groups = simhash_groups(docs.select(id_col, text_col), id_col, text_col, **options)
+    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
