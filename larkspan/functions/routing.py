@@ -98,7 +98,7 @@ def plan(kind: Column, configured: Column) -> Column:
 
 def configured_sources(setting: Column, known: list[str], with_key: list[str], keys: list[str]) -> Column:
     """Names of a comma list that are known, those that need a key only with one; duckduckgo where none is left."""
-    names = F.filter(F.transform(F.split(F.lower(setting), ","), F.trim), lambda n: n.isin(*known))
+    names = F.filter(F.transform(F.split(F.lower(setting), ","), lambda n: F.trim(n)), lambda n: n.isin(*known))
     missing = [k for k in with_key if k not in keys]
     usable = F.filter(names, lambda n: ~n.isin(*missing)) if missing else names
     return F.when(F.size(usable) == 0, F.array(F.lit("duckduckgo"))).otherwise(F.array_distinct(usable))

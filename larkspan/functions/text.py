@@ -79,7 +79,7 @@ def paragraphs(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     parts = F.split(c, r"(?<=[.!?])" + SPACE + r"+(?=[A-Z0-9\"'(\[])")
-    return F.filter(F.transform(parts, F.trim), lambda x: F.length(x) >= 20)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= 20)
 
 
 def density(c: Column, terms: Column) -> Column:
