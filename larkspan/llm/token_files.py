@@ -1,4 +1,4 @@
-"""Token ids as flat files: unsigned 32-bit ids, 64-bit offsets, and partition bases from prefix sums."""
+"""Token ids as flat files: unsigned integer ids, 64-bit offsets, and partition bases from prefix sums."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,70 +22,109 @@ NO_ID = -(1 << 63)
 SUFFIXES = ("bin", "off", "doc")
 
 
-class Units(dict):
-    """Ids of blank-separated units of text as bytes; at most `most` are remembered.
+#: Letters whose lower case is more than a letter or depends on its place.
+_ODD = frozenset("İΣ")
 
-    The tokenizer collapses white space and no token crosses it, so a text's ids are those of its units in order.
+
+class Units:
+    """Ids of blank-separated units of text, as bytes of `kind`; at most `most` units and twice as many words are remembered.
+
+    The tokenizer collapses white space and no token crosses it, so a text's ids are those of its units in order. It cuts
+    a word from the punctuation behind it and lower-cases, so units that aren't remembered are looked up by these parts;
+    a word that it would leave as it is goes to its model alone, all else through all of its steps.
     """
 
-    def __init__(self, data: str, most: int = 150_000):
-        from tokenizers import Tokenizer
+    def __init__(self, data: str, kind: str, most: int = 200_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.late = most, 0
+        self.words_only = Tokenizer(self.tokenizer.model)
+        self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.kind, self.most = kind, most
+        self.units: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.late = 0
+
+    def _encoded(self, tokenizer, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return ((text, np.array(e.ids, self.kind).tobytes()) for text, e in zip(texts, found, strict=True))
+
+    @staticmethod
+    def split(unit: str) -> tuple[str, str]:
+        """(word, punctuation) where the tokenizer cuts there for sure, else (unit, nothing)."""
+        word = unit.rstrip(".,!?;:")
+        if word.isalpha() and (word.isascii() or (not _ODD.intersection(word) and is_normalized("NFC", word))):
+            return word.lower(), unit[len(word) :]
+        return unit, ""
 
     def add(self, units: list[str]) -> dict[str, bytes]:
         """The ids of units that aren't remembered; remembers them while there is room, and now and then starts anew."""
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        new = {unit: np.array(e.ids, "<u4").tobytes() for unit, e in zip(units, found, strict=True)}
-        if len(self) < self.most:
-            self.update((u, b) for u, b in new.items() if len(u) <= 64)
-        elif (late := self.late + len(new)) > 4 * self.most:
-            self.clear()
-            self.late = 0
-        else:
-            self.late = late
+        split = [self.split(u) for u in units]
+        held = self.parts
+        wanted = {part for part in chain.from_iterable(split) if part not in held}
+        wanted.discard("")
+        words = [p for p in wanted if p.isalpha() and p.islower() and (p.isascii() or is_normalized("NFC", p))]
+        fresh = dict(chain(self._encoded(self.words_only, words), self._encoded(self.tokenizer, list(wanted.difference(words)))))
+        fresh[""] = b""
+        # Units and parts may have no ids at all, such as white space of other kinds.
+        of = lambda part: held[part] if part in held else fresh[part]
+        new = {u: of(a) + of(b) for u, (a, b) in zip(units, split, strict=True)}
+        for store, more, most in ((self.parts, fresh, 2 * self.most), (self.units, new, self.most)):
+            if len(store) < most:
+                store.update((u, ids) for u, ids in more.items() if 0 < len(u) <= 64)
+        self.late += len(new)
+        if self.late > 8 * self.most:
+            self.units, self.parts, self.late = {}, {}, 0
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        missing = set(chain.from_iterable(split)) - self.keys() - {""}
+        known = self.units
+        missing = {u for u in set(chain.from_iterable(split)) if u not in known}
+        missing.discard("")
         new = self.add(list(missing)) if missing else {}
         new[""] = b""
-        get, late = self.get, new.__getitem__
-        return [b"".join([get(u) or late(u) for u in units]) if missing else b"".join([get(u, b"") for u in units]) for units in split]
+        return [b"".join([known[u] if u in known else new[u] for u in units]) for units in split]
 
 
 _UNITS: dict[int, Units] = {}
 
 
-def units_of(data: str) -> Units:
-    key = zlib.crc32(data.encode())
+def units_of(data: str, kind: str) -> Units:
+    key = zlib.crc32(data.encode(), len(kind))
     if key not in _UNITS:
-        _UNITS[key] = Units(data)
+        _UNITS[key] = Units(data, kind)
     return _UNITS[key]
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, list[tuple[int, int, int, int]]]:
-    """Write the files in ascending id order; returns the folder and (part, base, documents, tokens) of each part.
+def width_of(data: str, end_id: int) -> str:
+    """The narrowest unsigned type that holds every id of the vocabulary: two bytes up to 65,536 ids, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_str(data).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, list[tuple[int, int, int, int, str]]]:
+    """Write the files in ascending id order; returns the folder and (part, base, documents, tokens, kind) of each part.
 
-    part-N.bin has the ids as little-endian unsigned 32-bit integers, part-N.off the 64-bit offset at which each document
+    part-N.bin has the ids as little-endian unsigned integers of `width_of` the vocabulary, part-N.off the 64-bit offset at which each document
     starts within its part, part-N.doc the document ids. A part's base, the number of ids before it, is the prefix sum of
     the parts' totals; the driver sees these totals alone. A task writes under a name of its own and renames at its end,
     so that attempts that are lost or run twice leave nothing wrong. `folder` must be on a store that pyarrow can write.
     """
     folder = folder or new_path(docs.sparkSession, "tokens")
     with open(tokenizer_path, encoding="utf-8") as file:
-        data = docs.sparkSession.sparkContext.broadcast(file.read())
+        text = file.read()
+    kind = width_of(text, end_id)
+    data = docs.sparkSession.sparkContext.broadcast(text)
     fs, base_path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base_path, recursive=True)
-    end = np.array([end_id], "<u4").tobytes()
+    end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = units_of(data.value)
+        units = units_of(data.value, kind)
         context = TaskContext.get()
         store, base = pafs.FileSystem.from_uri(folder)
         name, attempt = f"{base}/part-{context.partitionId():06d}", context.taskAttemptId()
@@ -94,7 +134,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
                 rows = [ids + end for ids in units.encode(part.column(1).to_pylist())]
-                sizes = np.array([len(r) // 4 for r in rows], "<i8")
+                sizes = np.array([len(r) // width for r in rows], "<i8")
                 streams["off"].write((tokens + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
                 streams["doc"].write(part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 for row in rows:
@@ -110,7 +150,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_
     ordered = source.repartitionByRange("id").sortWithinPartitions("id", "text")
     totals = sorted(tuple(r) for r in ordered.mapInArrow(run, "part int, documents long, tokens long").collect())
     bases = [0, *accumulate(t for _, _, t in totals)]
-    return folder, [(part, base, documents, tokens) for (part, documents, tokens), base in zip(totals, bases, strict=False)]
+    return folder, [(part, base, documents, tokens, kind) for (part, documents, tokens), base in zip(totals, bases, strict=False)]
 
 
 def _flat(store, path: str, kind: str) -> np.ndarray:
@@ -123,24 +163,24 @@ def _flat(store, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(file.read(), kind)
 
 
-def read_token_files(spark: SparkSession, folder: str, parts: list[tuple[int, int, int, int]], id_col: str = "doc_id") -> DataFrame:
-    """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def read_token_files(spark: SparkSession, folder: str, parts: list[tuple[int, int, int, int, str]], id_col: str = "doc_id") -> DataFrame:
+    """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base_path = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for part, base, documents, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ids, offsets, doc = (_flat(store, f"{base_path}/part-{part:06d}.{s}", k) for s, k in zip(SUFFIXES, ("<u4", "<i8", "<i8"), strict=True))
+            for part, base, documents, tokens, kind in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                ids, offsets, doc = (_flat(store, f"{base_path}/part-{part:06d}.{s}", k) for s, k in zip(SUFFIXES, (kind, "<i8", "<i8"), strict=True))
                 if (len(offsets), len(doc), len(ids)) != (documents, documents, tokens):
                     raise ValueError(f"part {part} is not as it was written")
                 for i in range(0, documents, 4096):
                     starts = np.array(offsets[i : i + 4096])
                     ends = np.append(offsets[i + 1 : i + 4097], tokens)[: len(starts)]
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                     name = np.array(doc[i : i + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(name, mask=name == NO_ID), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    listed = spark.createDataFrame(parts, "part int, base long, documents long, tokens long")
+    listed = spark.createDataFrame(parts, "part int, base long, documents long, tokens long, kind string")
     spread = listed.repartition(max(1, len(parts)), "part")
     return spread.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
