@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from larkspan.operators.ranking import top_k_per
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, same_group: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, same_group: bool = False, least: float | None = None) -> DataFrame:
     """(query_id, hit_id, sim, rank): the k vectors most like each query, by similarity rounded to six places, then id.
 
     queries: (query_id, embedding[, grp]), vectors: (hit_id, embedding[, grp]); with same_group a query only sees vectors
-    of its group, before anything is ranked. Queries go to the executors in blocks of bounded size, one after the other;
+    of its group, before anything is ranked; with `least` only vectors that like it. Queries go to the executors in blocks of bounded size, one after the other;
     the vectors stay where they lie and each task sends k rows a query. Vectors of another length have no similarity.
     """
     columns = ["query_id", F.col("embedding").cast("array<double>").alias("embedding"), *(["grp"] if same_group else [])]
@@ -27,12 +27,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, s
     out = None
     for number in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
-        found = _block(pool, rows, k, same_group)
+        found = _block(pool, rows, k, same_group, -np.inf if least is None else least)
         out = found if out is None else out.unionByName(found)
     return top_k_per(out, ["query_id"], [F.col("sim").desc(), "hit_id"], k)
 
 
-def _block(pool: DataFrame, rows: list, k: int, same_group: bool) -> DataFrame:
+def _block(pool: DataFrame, rows: list, k: int, same_group: bool, least: float) -> DataFrame:
     names = np.array([r["query_id"] for r in rows], np.int64)
     groups = np.array([str(r["grp"]) if same_group else "" for r in rows])
     sent = pool.sparkSession.sparkContext.broadcast((names, groups, [list(r["embedding"]) for r in rows]))
@@ -56,7 +56,7 @@ def _block(pool: DataFrame, rows: list, k: int, same_group: bool) -> DataFrame:
                 order = np.lexsort((np.broadcast_to(ids[here], sim.shape), -sim), axis=1)[:, :k]
                 q, at = np.repeat(names[mine], order.shape[1]), order.ravel()
                 best = np.take_along_axis(sim, order, axis=1).ravel()
-                keep = best > -np.inf
+                keep = (best > -np.inf) & (best >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ids[here][at[keep]]), pa.array(best[keep])], ["query_id", "hit_id", "sim"])
 
     return pool.mapInArrow(run, "query_id long, hit_id long, sim double")
