@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 from os.path import commonprefix
 
@@ -35,7 +35,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes single pieces of text; `most_states` bounds the states that are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
@@ -55,6 +55,7 @@ class Transducer:
                     self.ends_token.append(-1)
                     self.goes_on.append(0)
             self.ends_token[node] = rank
+        self._ends = [-2] * len(self.ends_token)
         self.most_states = most_states
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
@@ -85,14 +86,8 @@ class Transducer:
             self._parts[token] = (self.ranks[halves[0]], self.ranks[halves[1]]) if len(halves) == 2 else None
         return self._parts[token]
 
-    def reachable(self, token: int) -> bool:
-        return len(self.token[token]) == 1 or self.parts(token) is not None
-
     def fits(self, left: int, right: int) -> bool:
         """Whether the pair stays as it is: going back in time, no merge across the boundary comes before those beside it."""
-        known = self._fits.get(left << 32 | right)
-        if known is not None:
-            return known
         ranks, token, parts = self.ranks, self.token, self._parts
         a, b, limit, good = left, right, float("inf"), True
         while True:
@@ -112,30 +107,59 @@ class Transducer:
         self._fits[left << 32 | right] = good
         return good
 
+    def _token_at(self, node: int) -> int:
+        """The token that ends at a node, found once: -1 for none, or for one that no merges lead to."""
+        token = self.ends_token[node]
+        if token >= 0 and len(self.token[token]) > 1 and self.parts(token) is None:
+            token = -1
+        self._ends[node] = token
+        return token
+
     def _move(self, key: int) -> tuple[int, tuple[int, ...]]:
         byte, after = key & 255, []
+        child, ends, fits, goes_on = self.child.get, self._ends, self._fits.get, self.goes_on
+        done = None
         for last, node, waiting in self.states[key >> 8]:
-            to = self.child.get(node << 8 | byte)
+            to = child(node << 8 | byte)
             if to is None:
                 continue
-            if self.goes_on[to]:
+            if goes_on[to]:
                 after.append((last, to, waiting))
-            token = self.ends_token[to]
-            if token >= 0 and self.reachable(token) and (last < 0 or self.fits(last, token)):
-                after.append((token, 0, (*waiting, token)))
-        agreed = commonprefix([waiting for _, _, waiting in after]) if len(after) > 1 else after[0][2]
+            token = ends[to]
+            if token == -2:
+                token = self._token_at(to)
+            if token >= 0 and done is None:
+                good = last < 0 or fits(last << 32 | token)
+                if good is None:
+                    good = self.fits(last, token)
+                if good:
+                    # The encoding of what has been read is one, so no other way ends a token here.
+                    done = (*waiting, token)
+                    after.append((token, 0, done))
+        agreed = after[0][2]
+        for _, _, waiting in after:
+            if waiting[:1] != agreed[:1]:
+                agreed = ()
+                break
+            if waiting != agreed:
+                agreed = tuple(commonprefix((agreed, waiting)))
         if agreed:
-            after = [(last, node, waiting[len(agreed) :]) for last, node, waiting in after]
+            cut = len(agreed)
+            after = [(last, node, waiting[cut:]) for last, node, waiting in after]
+            done = done and done[cut:]
         rest = tuple(after)
         target = self.number.get(rest)
         if target is None:
             target = self.number[rest] = len(self.states)
             self.states.append(rest)
-            self.ends.append(next((waiting for _, node, waiting in rest if not node), None))
-        move = self.moves[key] = (target, tuple(agreed))
+            self.ends.append(done)
+        move = self.moves[key] = (target, agreed)
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
+        token = self.ranks.get(piece)
+        if token is not None and (len(piece) == 1 or self.parts(token) is not None):
+            return (token,)  # where all of the machine's paths for these bytes end
         if len(self.states) > self.most_states:
             self._reset()
         state, out, known = 0, [], self.moves.get
@@ -150,7 +174,7 @@ class Transducer:
 class Encoder(dict):
     """Encodes texts; as a dict it remembers the ids of units, at most `most` of them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 250_000):
         super().__init__()
         # The library's \s is Unicode's White_Space property.
         self.split = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
@@ -159,7 +183,12 @@ class Encoder(dict):
         self.most, self.late = most, 0
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(self.transducer.encode(piece.encode()) for piece in self.split.findall(unit)))
+        pieces = self.split.findall(unit)
+        if len(pieces) == 1:
+            ids = self.transducer.encode(unit.encode())
+        else:  # a piece may be known as a unit of its own
+            known = self.get
+            ids = tuple(chain.from_iterable(known(piece) or self.transducer.encode(piece.encode()) for piece in pieces))
         if len(self) < self.most and len(unit) <= 64:
             self[unit] = ids
         elif (late := self.late + 1) > 4 * self.most:
@@ -218,11 +247,20 @@ class Decoder:
                 out.append("�")
         return "".join(out)
 
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
+    def decode(self, ids: list[int]) -> Iterator[str]:
+        """Texts that follow one another, for ids in any number of calls."""
         whole, tokens = self.whole, self.tokens
-        for number in ids:
-            text = whole.get(number) if not self.need else None
-            yield text if text is not None else self._feed(tokens[number])
+        for start in range(0, len(ids), 256):
+            part = ids[start : start + 256]
+            if not self.need:
+                try:  # tokens of whole characters leave the machine where it is
+                    yield "".join(map(whole.__getitem__, part))
+                    continue
+                except KeyError:
+                    pass
+            for number in part:
+                text = whole.get(number) if not self.need else None
+                yield text if text is not None else self._feed(tokens[number])
 
     def end(self) -> str:
         """What is left at the end of a stream: a mark for a character cut off."""
