@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -38,10 +40,15 @@ def normalise_scores(outputs: Column, expected: int) -> Column:
     return F.slice(F.concat(best, F.array_repeat(F.lit(0.0), expected)), 1, expected)
 
 
+def hash_vector(text: str | None, width: int = 64) -> list[float]:
+    """Counts of hashed words, of length one; zeros for a text without words."""
+    counts = [0.0] * width
+    for word in re.findall(r"\w+", (text or "").lower()):
+        counts[zlib.crc32(word.encode("utf-8", "surrogatepass")) % width] += 1
+    size = sum(x * x for x in counts) ** 0.5
+    return [x / size for x in counts] if size else counts
+
+
 def hash_embedding(text: Column, width: int = 64) -> Column:
-    """A deterministic embedding for where no model is there: counts of hashed words, of length one."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+    """A deterministic embedding for where no model is there."""
+    return F.udf(lambda t: hash_vector(t, width), "array<double>", useArrow=True)(text)
