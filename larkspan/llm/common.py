@@ -38,3 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that `df` does not have, whatever its extra columns are called."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out

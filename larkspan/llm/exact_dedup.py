@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import materialize, text_or_empty
+from larkspan.llm.common import fresh, materialize, text_or_empty
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -67,12 +67,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of `docs` that `exact_dedup` keeps, with all their columns."""
     marks = exact_dedup(docs.select(id_col, text_col), id_col, text_col, keep)
-    kept = marks.groupBy(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    kept = kept.agg(F.max("kept").alias("_kept"), F.count("*").alias("_kept_rows")).filter("_kept")
-    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (F.sha2(text_or_empty(text_col), 256) == kept["_kept_sha"])
+    own, sha, rows_of = fresh(docs, "_kept_id", "_kept_sha", "_kept_rows")
+    kept = marks.groupBy(F.col(id_col).alias(own), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias("stays"), F.count("*").alias(rows_of))
+    kept = kept.filter("stays").drop("stays")
+    same = docs[id_col].eqNullSafe(kept[own]) & (F.sha2(text_or_empty(text_col), 256) == kept[sha])
     rows = docs.join(kept, same)
-    once = rows.filter("_kept_rows = 1").select(docs.columns)
-    return once.unionAll(rows.filter("_kept_rows > 1").dropDuplicates(["_kept_id", "_kept_sha"]).select(docs.columns))
+    once = rows.filter(F.col(rows_of) == 1).select(docs.columns)
+    return once.unionAll(rows.filter(F.col(rows_of) > 1).dropDuplicates([own, sha]).select(docs.columns))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

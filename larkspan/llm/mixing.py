@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspan.llm.common import WORD_PATTERN, materialize, table, text_or_empty
+from larkspan.llm.common import WORD_PATTERN, fresh, materialize, table, text_or_empty
 
 
 def target_sizes(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -119,9 +119,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     own, text = F.col(id_col).cast("long"), text_or_empty(text_col)
     shares = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, with_mark=True, **options)
     shares = shares.groupBy("mark").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
-    shares = shares.select(F.col("mark").alias("_mix_mark"), F.ceil(F.col("all") / F.col("rows")).cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
-    joined = docs.join(shares, F.xxhash64(own, text) == F.col("_mix_mark"))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
+    mark, copies, copy = fresh(docs, "_mix_mark", "_mix_copies", "_mix_copy")
+    shares = shares.select(F.col("mark").alias(mark), F.ceil(F.col("all") / F.col("rows")).cast("int").alias(copies)).filter(F.col(copies) > 0)
+    joined = docs.join(shares, F.xxhash64(own, text) == F.col(mark))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 def ranked(sized: DataFrame) -> DataFrame:
