@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import fts_terms, index_tokens
+from larkspan.tables import materialize
 
 K1, B = 1.2, 0.75
 
@@ -36,19 +37,27 @@ def bm25(queries: DataFrame, texts: DataFrame, prefix: bool = True) -> DataFrame
     tokens that begin so, and the document frequency counts the texts that have any: the vocabulary, not the corpus, is
     searched for them, and each prefix becomes the list of its terms.
     """
-    listed, stats = postings(texts), statistics(texts)
-    asked = query_terms(queries)
-    exact = asked.select("query_id", "at", "term", F.col("term").alias("match"), "prefix")
+    # The index is built once; its sums give the statistics, so texts are not cut into tokens again.
+    listed = materialize(postings(texts), "postings")
+    stats = texts.agg(F.count("*").alias("n_texts")).join(F.broadcast(listed.agg(F.sum("tf").alias("tokens"))))  # one row each
+    stats = stats.select("n_texts", (F.coalesce("tokens", F.lit(0)) / F.col("n_texts")).alias("avg_len"))
+    asked = query_terms(queries).groupBy("query_id", "term", "prefix").agg(F.count("*").alias("times"))
+    # Each term's texts are scored once, whatever the number of queries that ask for it.
+    wanted = asked.select("term", "prefix").distinct()
+    listed_as = listed.withColumnRenamed("term", "match")
     if prefix:
-        vocabulary = listed.select("term").distinct().withColumn("first", F.substring("term", 1, 1))
-        starts = asked.filter("prefix").select("term").distinct().withColumnRenamed("term", "start").withColumn("first", F.substring("start", 1, 1))
-        widened = vocabulary.join(starts, "first").filter(F.col("term").startswith(F.col("start"))).select("start", F.col("term").alias("match"))
-        ends = asked.filter("prefix").join(widened, F.col("term") == F.col("start")).select("query_id", "at", "term", "match", "prefix")
-        exact = exact.filter("NOT prefix").unionByName(ends)
-    found = exact.join(listed.withColumnRenamed("term", "match"), "match")
-    per_text = found.groupBy("query_id", "at", "term", "hit_id", "doc_len").agg(F.sum("tf").alias("f"))
-    frequency = per_text.groupBy("query_id", "at", "term").agg(F.count("*").alias("n"))
-    scored = per_text.join(frequency, ["query_id", "at", "term"]).join(F.broadcast(stats))  # one row
+        vocabulary = listed.select(F.col("term").alias("match")).distinct().withColumn("first", F.substring("match", 1, 1))
+        starts = wanted.filter("prefix").select("term").withColumn("first", F.substring("term", 1, 1))
+        widened = vocabulary.join(starts, "first").filter(F.col("match").startswith(F.col("term"))).select("term", "match")
+        begun = listed_as.join(widened, "match").groupBy("term", "hit_id", "doc_len").agg(F.sum("tf").alias("f")).withColumn("prefix", F.lit(True))
+        whole = wanted.filter("NOT prefix")
+    else:
+        begun, whole = None, wanted
+    exact = listed_as.join(whole, F.col("match") == F.col("term")).select("term", "hit_id", "doc_len", F.col("tf").alias("f"), "prefix")
+    per_text = exact if begun is None else exact.unionByName(begun)
+    frequency = per_text.groupBy("term", "prefix").agg(F.count("*").alias("n"))
+    scored = per_text.join(frequency, ["term", "prefix"]).join(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("n_texts") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return scored.groupBy("query_id", "hit_id").agg(F.sum(part).alias("score"))
+    parts = scored.select("term", "prefix", "hit_id", part.alias("part"))
+    return asked.join(parts, ["term", "prefix"]).groupBy("query_id", "hit_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
