@@ -21,13 +21,12 @@ from larkspan.llm.common import table, text_or_empty
 @dataclass(frozen=True)
 class Settings:
     """buckets, width: of the table of vectors; grams: lengths of character n-grams; sample: labelled rows of a class to
-    train on at most; features: distinct features of a training document at most, the most frequent first."""
+    train on at most, each with all of its features."""
 
     buckets: int = 1 << 16
     width: int = 16
     grams: tuple[int, ...] = (2, 3, 4)
     sample: int = 1000
-    features: int = 2000
     epochs: int = 4
     rate: float = 0.5
     seed: int = 7
@@ -152,8 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS, id_co
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = document_features(text, settings).most_common()
-                found = sorted(found, key=lambda x: (-x[1], x[0]))[: settings.features]
+                found = sorted(document_features(text, settings).items(), key=lambda x: (-x[1], x[0]))
                 yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([label], pa.int32()), pa.array([[f for f, _ in found]], pa.list_(pa.int32())), pa.array([[c for _, c in found]], pa.list_(pa.int32()))], ["id", "label", "features", "counts"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(sample, "id").select("id", "label", "text")
@@ -162,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS, id_co
     examples = []
     for _, label, found, counts in rows:
         counts = np.asarray(counts, float)
-        examples.append((np.asarray(found, np.int64), counts / counts.sum() if len(counts) else counts, int(label)))
+        examples.append((np.asarray(found, np.int32), counts / counts.sum() if len(counts) else counts, int(label)))
     return train(examples, settings)
 
 
