@@ -60,3 +60,40 @@ def _block(pool: DataFrame, rows: list, k: int, same_group: bool, least: float)
                 yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ids[here][at[keep]]), pa.array(best[keep])], ["query_id", "hit_id", "sim"])
 
     return pool.mapInArrow(run, "query_id long, hit_id long, sim double")
+
+
+def count_within(queries: DataFrame, vectors: DataFrame, least: float, block: int = 4096) -> DataFrame:
+    """(query_id, n): how many vectors have a similarity, rounded to six places, of `least` or more to each query; queries
+    without any are left out. Tasks count what they hold, in pieces of bounded size, and the counts are added up."""
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding IS NOT NULL")
+    blocks = max(1, -(-asked.count() // block))
+    pool = vectors.select(F.col("embedding").cast("array<double>").alias("embedding"))
+    out = None
+    for number in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
+        found = _counts(pool, rows, least)
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def _counts(pool: DataFrame, rows: list, least: float) -> DataFrame:
+    sent = pool.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), [list(r["embedding"]) for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values = sent.value
+        counts = np.zeros(len(names), np.int64)
+        asked = {n: [i for i, v in enumerate(values) if len(v) == n] for n in {len(v) for v in values}}
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            for length, mine in asked.items():
+                here = [v for v in own if v is not None and len(v) == length and None not in v]
+                a = np.array([values[i] for i in mine], float)
+                for at in range(0, len(here), 1024):
+                    b = np.array(here[at : at + 1024], float)
+                    size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+                    sim = np.round(np.divide(a @ b.T, size, out=np.zeros_like(size), where=size > 0), 6)
+                    counts[mine] += (sim >= least).sum(axis=1)
+        some = counts > 0
+        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(counts[some])], ["query_id", "n"])
+
+    return pool.mapInArrow(run, "query_id long, n long")

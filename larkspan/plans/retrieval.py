@@ -96,11 +96,10 @@ def ret4_semantic_cache(spark, d):
 SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0
 AND round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) >= 0.75 GROUP BY 1""")
 def flt7_similarity_threshold(spark, d):
-    from larkspan.operators.nearest import nearest
+    from larkspan.operators.nearest import count_within
 
     v = table(spark, d, "embeddings")
-    near = nearest(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("hit_id"), "embedding"), 1_000_000, least=0.75)
-    return near.groupBy("query_id").agg(F.count("*").alias("n"))
+    return count_within(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 0.75)
 
 
 @query("ret5_cache_upsert", f"""
