@@ -10,6 +10,7 @@ from larkspan.operators.fusion import fuse_hits
 from larkspan.operators.keyword import bm25
 from larkspan.operators.nearest import nearest
 from larkspan.operators.ranking import top_k_per
+from larkspan.operators.rerank import hash_embedding
 from larkspan.schemas import SCOPE
 
 
@@ -26,6 +27,11 @@ def ingest(docs: DataFrame, least: int = 80, most: int = 1200, overlap: int = 12
     return kept.withColumn("chunk_count", F.size("parts")).drop("parts"), out
 
 
+def embed_chunks(chunks: DataFrame, most: int = 512) -> DataFrame:
+    """The chunks (chunk_id, doc_id, chunk_index, text) with `embedding`, of the first `most` characters of each."""
+    return chunks.withColumn("embedding", hash_embedding(F.substring("text", 1, most)))
+
+
 def keyword_hits(queries: DataFrame, texts: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, hit_id, score, rank). `where` filters hits, not the statistics, which are those of the whole index."""
     scored = bm25(queries, texts.select("hit_id", "text")).withColumn("score", F.round("score", 6))

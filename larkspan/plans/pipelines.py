@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspan.catalog import query, table
 from larkspan.functions import text
+from larkspan.functions.chunks import chunks
 from larkspan.operators import answers, execution, fusion, index, ranking
 from larkspan.operators.rerank import hash_embedding
 from larkspan.plans.bases import base, sub
@@ -68,16 +69,17 @@ def src19_provider_attempts(spark, d):
 def str9_embedding_memo(spark, d):
     """A vector is made once for each distinct text and joined to the rows that have it."""
     rows = table(spark, d, "conversations")
-    made = rows.select("role").distinct().withColumn("v", hash_embedding(F.col("role")))
-    return rows.join(made, "role").filter(F.size("v") == 64).groupBy("role").agg(F.count("*").alias("notes"))
+    made = rows.select(F.col("text").alias("_text")).distinct().withColumn("v", hash_embedding(F.col("_text")))
+    return rows.join(made, rows["text"].eqNullSafe(made["_text"])).filter(F.size("v") == 64).groupBy("role").agg(F.count("*").alias("notes"))
 
 
 @query("ret19_embedded_chunks", "SELECT doc_id, true AS unit FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')")
 def ret19_embedded_chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 512).alias("text"))
-    made = docs.select("doc_id", hash_embedding(F.col("text")).alias("v"))
+    """Every chunk of the whole documents gets a vector; a document is unit if those of all its chunks with words are."""
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "text"))
+    made = index.embed_chunks(each).select("doc_id", F.col("embedding").alias("v"))
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    return made.filter(size > 0).select("doc_id", (F.abs(size - 1) < 1e-9).alias("unit"))
+    return made.filter(size > 0).groupBy("doc_id").agg(F.min(F.abs(size - 1) < 1e-9).alias("unit"))
 
 
 @query("ret14_search_index", BM25_SQL + _RANKED.format(name="r", of="scored") + " SELECT query_id, hit_id, score, rank FROM r WHERE rank <= 5")
