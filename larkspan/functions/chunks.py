@@ -3,28 +3,38 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN, MAX, OVERLAP = 80, 1200, 120
-_MARKS = (". ", "? ", "! ", "\n")
+#: A text may be cut behind these: the end of a sentence before a space, and the end of a line; fixed values.
+_BREAK = re.compile(r"[.?!](?= )|\n")
 
 
 def windows(block: str, most: int, overlap: int) -> Iterator[str]:
-    """Stretches of a long block: each ends behind the last sentence or line that ends in the second half of its room,
-    and the next begins `overlap` characters before that, but never before half of what was passed."""
-    at, size = 0, len(block)
-    while at < size:
-        end = min(at + most, size)
-        if end < size:
-            found = max(block.rfind(mark, at, end) for mark in _MARKS) - at
-            if found > most / 2:
-                end = at + found + 1
-        if piece := block[at:end].strip():
+    """Stretches of a long block, cut at its break points.
+
+    A stretch ends at the last break point whose mark is in its room, if that is in the room's second half, else where the
+    room ends. The next begins `overlap` characters before that end, but never before half of what was passed.
+    """
+    breaks = [m.start() for m in _BREAK.finditer(block)]
+    # A sentence's mark takes the space behind it too.
+    reach = [at + 1 + (block[at] != "\n") for at in breaks]
+    start, size = 0, len(block)
+    while start < size:
+        room = start + most
+        if room >= size:
+            end = after = size
+        else:
+            last = bisect_right(reach, room) - 1
+            end = breaks[last] + 1 if last >= 0 and 2 * (breaks[last] - start) > most else room
+            after = max(end - overlap, start + max(1, (end - start) // 2))
+        if piece := block[start:end].strip():
             yield piece
-        at = max(end - overlap, at + (end - at) // 2) if end < size else end
+        start = after
 
 
 def chunk(text: str | None, least: int = MIN, most: int = MAX, overlap: int = OVERLAP) -> list[str]:

@@ -13,7 +13,21 @@ from pyspark.sql import functions as F
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 _BLOCKS = frozenset("address article aside blockquote body dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th thead tr ul".split())
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden|(?:opacity\s*:\s*0(?:\.0+)?|font-size\s*:\s*0(?:px|em|rem|%)?)\s*(?:;|$))", re.IGNORECASE)
+#: Lengths that make text invisible; fixed values.
+_NO_SIZE = ("0", "0px", "0em", "0rem", "0%")
+
+
+def hides(style: str) -> bool:
+    """Whether an inline style hides its element: by display, visibility, opacity or size of the font."""
+    for declaration in style.lower().split(";"):
+        name, _, value = (x.strip() for x in declaration.partition(":"))
+        if (name, value[:4]) == ("display", "none") or (name, value[:6]) == ("visibility", "hidden"):
+            return True
+        if name == "font-size" and value in _NO_SIZE:
+            return True
+        if name == "opacity" and (value == "0" or (value.startswith("0.") and len(value) > 2 and not value[2:].strip("0"))):
+            return True
+    return False
 
 
 class Node:
@@ -88,7 +102,7 @@ def clean(text: str | None) -> str:
 
 def hidden(node: Node) -> bool:
     """Elements that a reader can't see, as far as their own attributes tell."""
-    return node.tag == "template" or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(node.attrs.get("style") or ""))
+    return node.tag == "template" or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or hides(node.attrs.get("style") or "")
 
 
 def markdown(node: Node) -> str:

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 #: White space as the reference behaviour has it: Unicode spaces and the byte-order mark too. A fixed value.
 SPACE = r"[\s   -     　﻿]"
 
+# fmt: off
 #: Words without meaning in a question; fixed values.
 STOPWORDS = (
-    "a an the and or but if then else when at by for with about against between into through during before after above "
-    "below to from up down in out on off over under again further once here there all any both each few more most other "
-    "some such no nor not only own same so than too very can will just do does did is are was were be been being have has "
-    "had having of as it its this that these those i me my we our you your he she they them his her their what which who "
-    "whom how why where please tell give show find"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "when", "at", "by", "for", "with", "about", "against", "between", "into", "through",
+    "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "once",
+    "here", "there", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "can", "will", "just", "do", "does", "did", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having",
+    "of", "as", "it", "its", "this", "that", "these", "those", "i", "me", "my", "we", "our", "you", "your", "he", "she", "they", "them", "his", "her",
+    "their", "what", "which", "who", "whom", "how", "why", "where", "please", "tell", "give", "show", "find",
+)
+# fmt: on
 
 #: Abbreviations that a query is widened by; fixed values.
 ABBREVIATIONS = {
