@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
-from unicodedata import is_normalized
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import new_path, table, text_or_empty
+from larkspan.llm.parts import LETTERS, Parts, batches, per_text
 
 #: Stands for a null id in the file of document ids.
 NO_ID = -(1 << 63)
 SUFFIXES = ("bin", "off", "doc")
 
 
-#: Letters whose lower case is more than a letter or depends on its place.
-_ODD = frozenset("İΣ")
+#: A text may be cut before these.
+_BLANK = re.compile("[ \n]")
 
 
 class Units:
-    """Ids of blank-separated units of text, as bytes of `kind`; at most `most` units and twice as many words are remembered.
-
-    The tokenizer collapses white space and no token crosses it, so a text's ids are those of its units in order. It cuts
-    a word from the punctuation behind it and lower-cases, so units that aren't remembered are looked up by these parts;
-    a word that it would leave as it is goes to its model alone, all else through all of its steps.
+    """Ids of whole texts. The tokenizer collapses white space and no token crosses it, so a text's ids are those of its
+    blank-separated units in order. It lower-cases and cuts a word from the punctuation behind it, so both are looked up
+    apart; a lower-case word goes to its model alone, all else through all of its steps. `most` parts are remembered.
     """
 
-    def __init__(self, data: str, kind: str, most: int = 200_000):
+    def __init__(self, data: str, kind: str, most: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,58 +44,35 @@ class Units:
         self.tokenizer.encode_special_tokens = True
         self.words_only = Tokenizer(self.tokenizer.model)
         self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.kind, self.most = kind, most
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.late = 0
+        self.parts = Parts(kind, self._encoded, most)
 
-    def _encoded(self, tokenizer, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return ((text, np.array(e.ids, self.kind).tobytes()) for text, e in zip(texts, found, strict=True))
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        plain = pc.match_substring_regex(pa.array(texts, pa.string()), rf"^[{LETTERS}]+$").to_pylist()
+        out: list[list[int]] = [[]] * len(texts)
+        for tokenizer, own in ((self.words_only, True), (self.tokenizer, False)):
+            at = [i for i, (text, p) in enumerate(zip(texts, plain, strict=True)) if (p and text.islower()) == own]
+            for i, found in zip(at, tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False), strict=True):
+                out[i] = found.ids
+        return out
 
     @staticmethod
-    def split(unit: str) -> tuple[str, str]:
-        """(word, punctuation) where the tokenizer cuts there for sure, else (unit, nothing)."""
-        word = unit.rstrip(".,!?;:")
-        if word.isalpha() and (word.isascii() or (not _ODD.intersection(word) and is_normalized("NFC", word))):
-            return word.lower(), unit[len(word) :]
-        return unit, ""
-
-    def add(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of units that aren't remembered; remembers them while there is room, and now and then starts anew."""
-        split = [self.split(u) for u in units]
-        held = self.parts
-        wanted = {part for part in chain.from_iterable(split) if part not in held}
-        wanted.discard("")
-        words = [p for p in wanted if p.isalpha() and p.islower() and (p.isascii() or is_normalized("NFC", p))]
-        fresh = dict(chain(self._encoded(self.words_only, words), self._encoded(self.tokenizer, list(wanted.difference(words)))))
-        fresh[""] = b""
-        # Units and parts may have no ids at all, such as white space of other kinds.
-        of = lambda part: held[part] if part in held else fresh[part]
-        new = {u: of(a) + of(b) for u, (a, b) in zip(units, split, strict=True)}
-        for store, more, most in ((self.parts, fresh, 2 * self.most), (self.units, new, self.most)):
-            if len(store) < most:
-                store.update((u, ids) for u, ids in more.items() if 0 < len(u) <= 64)
-        self.late += len(new)
-        if self.late > 8 * self.most:
-            self.units, self.parts, self.late = {}, {}, 0
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.units
-        missing = {u for u in set(chain.from_iterable(split)) if u not in known}
-        missing.discard("")
-        new = self.add(list(missing)) if missing else {}
-        new[""] = b""
-        return [b"".join([known[u] if u in known else new[u] for u in units]) for units in split]
-
-
-_UNITS: dict[int, Units] = {}
+    def _simple(words: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(words, rf"^[{LETTERS}]+$")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, number of ids of each)."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ids, sizes = self.parts.gather(split.flatten(), self._simple, pc.utf8_lower)
+        bounds = np.r_[0, np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]
+        return ids, per_text(sizes, bounds)
+
+
+_UNITS: dict[tuple[str, str], Units] = {}
 
 
 def units_of(data: str, kind: str) -> Units:
-    key = zlib.crc32(data.encode(), len(kind))
+    """One for each vocabulary and width of ids in a worker process."""
+    key = (hashlib.sha256(data.encode()).hexdigest(), kind)
     if key not in _UNITS:
         _UNITS[key] = Units(data, kind)
     return _UNITS[key]
@@ -106,13 +85,19 @@ def width_of(data: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_str(data).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, list[tuple[int, int, int, int, str]]]:
-    """Write the files in ascending id order; returns the folder and (part, base, documents, tokens, kind) of each part.
+#: One part of the files: its number, the name its files begin with, the ids before it, its documents, tokens and width.
+PART = "part int, name string, base long, documents long, tokens long, kind string"
 
-    part-N.bin has the ids as little-endian unsigned integers of `width_of` the vocabulary, part-N.off the 64-bit offset at which each document
-    starts within its part, part-N.doc the document ids. A part's base, the number of ids before it, is the prefix sum of
-    the parts' totals; the driver sees these totals alone. A task writes under a name of its own and renames at its end,
-    so that attempts that are lost or run twice leave nothing wrong. `folder` must be on a store that pyarrow can write.
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, list[tuple[int, str, int, int, int, str]]]:
+    """Write the files in ascending id order; returns the folder and the parts, see `PART`.
+
+    <name>.bin has the ids as little-endian unsigned integers of `width_of` the vocabulary, <name>.off the 64-bit offset at
+    which each document starts within its part, <name>.doc the document ids. A part's base, the number of ids before it,
+    is the prefix sum of the parts' totals; the driver sees these totals alone. Each attempt of a task writes files of its
+    own, never renamed or written over, and says their name in its totals: those of attempts that are lost or run twice
+    are named nowhere, on any store. `folder` must be on a store that pyarrow can write. Rows are dealt by id and a hash
+    of the text, so an id that very many rows share is spread too.
     """
     folder = folder or new_path(docs.sparkSession, "tokens")
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -121,36 +106,42 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_
     data = docs.sparkSession.sparkContext.broadcast(text)
     fs, base_path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base_path, recursive=True)
-    end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches_of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(data.value, kind)
-        context = TaskContext.get()
+        number = TaskContext.get().partitionId()
         store, base = pafs.FileSystem.from_uri(folder)
-        name, attempt = f"{base}/part-{context.partitionId():06d}", context.taskAttemptId()
-        streams = {s: store.open_output_stream(f"{name}.{s}.{attempt}") for s in SUFFIXES}
+        name = f"part-{number:06d}-{uuid.uuid4().hex}"
+        streams = {s: store.open_output_stream(f"{base}/{name}.{s}") for s in SUFFIXES}
         documents = tokens = 0
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
-                rows = [ids + end for ids in units.encode(part.column(1).to_pylist())]
-                sizes = np.array([len(r) // width for r in rows], "<i8")
+        for batch in batches_of:
+            streams["doc"].write(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            documents += len(batch)
+            begun = 0  # ids of the text that the slices before have begun
+            for texts, whole in batches(batch.column(1), _BLANK):
+                ids, sizes = units.encode(texts)
+                if not whole:
+                    streams["bin"].write(ids.tobytes())
+                    begun += len(ids)
+                    continue
+                ends = np.cumsum(sizes)
+                sizes += 1
+                sizes[0] += begun
+                begun = 0
                 streams["off"].write((tokens + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
-                streams["doc"].write(part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                for row in rows:
-                    streams["bin"].write(row)
-                documents += len(rows)
+                streams["bin"].write(np.insert(ids, ends, end_id).astype(kind, copy=False).tobytes())
                 tokens += int(sizes.sum())
-        for suffix, stream in streams.items():
+            pa.default_memory_pool().release_unused()
+        for stream in streams.values():
             stream.close()
-            store.move(f"{name}.{suffix}.{attempt}", f"{name}.{suffix}")
-        yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([documents], pa.int64()), pa.array([tokens], pa.int64())], ["part", "documents", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), pa.array([documents], pa.int64()), pa.array([tokens], pa.int64())], ["part", "name", "documents", "tokens"])
 
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
-    ordered = source.repartitionByRange("id").sortWithinPartitions("id", "text")
-    totals = sorted(tuple(r) for r in ordered.mapInArrow(run, "part int, documents long, tokens long").collect())
-    bases = [0, *accumulate(t for _, _, t in totals)]
-    return folder, [(part, base, documents, tokens, kind) for (part, documents, tokens), base in zip(totals, bases, strict=False)]
+    own, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text_or_empty(text_col)
+    source = docs.select(own.alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    ordered = source.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
+    totals = sorted(tuple(r) for r in ordered.mapInArrow(run, "part int, name string, documents long, tokens long").collect())
+    bases = accumulate((t for *_, t in totals), initial=0)
+    return folder, [(part, name, base, documents, tokens, kind) for (part, name, documents, tokens), base in zip(totals, bases, strict=False)]
 
 
 def _flat(store, path: str, kind: str) -> np.ndarray:
@@ -163,31 +154,31 @@ def _flat(store, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(file.read(), kind)
 
 
-def read_token_files(spark: SparkSession, folder: str, parts: list[tuple[int, int, int, int, str]], id_col: str = "doc_id") -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, parts: list[tuple[int, str, int, int, int, str]], id_col: str = "doc_id") -> DataFrame:
     """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base_path = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for part, base, documents, tokens, kind in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                ids, offsets, doc = (_flat(store, f"{base_path}/part-{part:06d}.{s}", k) for s, k in zip(SUFFIXES, (kind, "<i8", "<i8"), strict=True))
+            for name, base, documents, tokens, kind in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                ids, offsets, doc = (_flat(store, f"{base_path}/{name}.{s}", k) for s, k in zip(SUFFIXES, (kind, "<i8", "<i8"), strict=True))
                 if (len(offsets), len(doc), len(ids)) != (documents, documents, tokens):
-                    raise ValueError(f"part {part} is not as it was written")
+                    raise ValueError(f"{name} is not as it was written")
                 for i in range(0, documents, 4096):
                     starts = np.array(offsets[i : i + 4096])
                     ends = np.append(offsets[i + 1 : i + 4097], tokens)[: len(starts)]
                     crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    name = np.array(doc[i : i + 4096])
-                    yield pa.RecordBatch.from_arrays([pa.array(name, mask=name == NO_ID), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+                    own = np.array(doc[i : i + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    listed = spark.createDataFrame(parts, "part int, base long, documents long, tokens long, kind string")
+    listed = spark.createDataFrame(parts, PART)
     spread = listed.repartition(max(1, len(parts)), "part")
     return spread.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
-    """Defined results of both steps: null counts as empty and has the end id alone; null ids come first; of equal ids the
-    smaller text comes first; strings of special tokens are ordinary text; an empty table has no rows."""
+    """Defined results of both steps: null counts as empty and has the end id alone; null ids come first; rows of
+    equal ids come in the order of a hash of the text; strings of special tokens are ordinary text; an empty table has no rows."""
     import public_tokenizers
 
     folder, parts = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
