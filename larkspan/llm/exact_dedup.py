@@ -1,4 +1,4 @@
-"""Exact dedup by a tree-merge of digest runs, in DataFrame operations only."""
+"""Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -10,56 +10,77 @@ from larkspan.llm.common import fresh, materialize, text_or_empty
 KEY = ["digest", "n_bytes", "check"]
 
 
-def digest_runs(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
-    """(run, doc, digest, n_bytes, check, copies): the run follows from the id, so a repeated row meets its like."""
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(tag, doc, digest, n_bytes, check): tag tells rows apart, whatever ids repeat, and begins with the partition's number."""
     text = text_or_empty(text_col)
-    digests = docs.select(
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("tag"),
         F.col(id_col).alias("doc"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
         F.octet_length(text).alias("n_bytes"),
         F.xxhash64(text).alias("check"),
     )
-    run = F.pmod(F.xxhash64("doc"), F.lit(runs)).cast("int")
-    return materialize(digests.withColumn("run", run), "digests").groupBy("run", "doc", *KEY).agg(F.count("*").alias("copies"))
+    return materialize(rows, "digests")
 
 
-def merge_runs(entries: DataFrame, runs: int, fan_in: int, keep: str) -> DataFrame:
-    """Merge the runs in rounds until one is left.
+def sorted_runs(rows: DataFrame, runs: int, largest: bool) -> DataFrame:
+    """(run, digest, n_bytes, check, best, group_size): one entry for each text of a run.
 
-    Before every exchange each task folds what it holds of a digest into one entry (Spark's partial aggregation), so a
-    text that a third of all rows share moves as one entry a task and round. An entry is the verified key (digest, byte
-    length and a second, independent hash), the identifier that stays and the number of rows.
+    A run is what some of the partitions hold. The identifier that stays is a struct, for which Spark sorts a run by its
+    key and folds neighbours, before the exchange as after it; so a text that a third of all rows share moves as one
+    entry a task.
     """
-    best = F.max if keep == "largest" else F.min
-    level = entries.groupBy("run", *KEY).agg(best("doc").alias("keep_id"), F.sum("copies").alias("group_size"))
-    while runs > 1:
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        level = level.groupBy("run", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        runs = -(-runs // fan_in)
+    own = F.struct((F.lit(False) if largest else F.col("doc").isNull()).alias("last"), "doc", "tag")
+    run = F.pmod(F.shiftright("tag", 33), F.lit(runs)).cast("int")
+    return rows.groupBy(run.alias("run"), *KEY).agg((F.max if largest else F.min)(own).alias("best"), F.count("*").alias("group_size"))
+
+
+def merged(kept: DataFrame, sent: DataFrame, largest: bool) -> DataFrame:
+    """Two runs as one: both sides are sorted by the verified key (digest, length and a second, independent hash) and
+    merged; of an entry that both have, the better identifier and the sum stay."""
+    sent = sent.select("run", *KEY, F.col("best").alias("_best"), F.col("group_size").alias("_size"))
+    both = kept.hint("merge").join(sent, ["run", *KEY], "full_outer")
+    size = F.coalesce("group_size", F.lit(0)) + F.coalesce("_size", F.lit(0))
+    return both.select("run", *KEY, (F.greatest if largest else F.least)("best", "_best").alias("best"), size.alias("group_size"))
+
+
+def merge_tree(level: DataFrame, runs: int, fan_in: int, largest: bool) -> DataFrame:
+    """Rounds of a binomial tree: in the round of stride s, runs s, 2s, .. (fan_in - 1)s behind a run are sent to it and
+    merged with it. Each round ends in a table, so a lost executor costs no earlier round."""
+    stride = 1
+    while stride < runs:
+        behind = F.pmod(F.floor(F.col("run") / stride), F.lit(fan_in))
+        out = level.filter(behind == 0)
+        for step in range(1, fan_in):
+            out = merged(out, level.filter(behind == step).withColumn("run", F.col("run") - F.lit(step * stride)), largest)
+        stride *= fan_in
+        level = materialize(out, f"runs-{stride}")
     return level.drop("run")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 16, fan_in: int = 4) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 16, fan_in: int = 2) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept and text_sha256; texts are equal when identical.
 
     Defined results: a null text counts as empty and empty texts are one group; a null id stays only where its group has
     no other id; rows that repeat both id and text all count in group_size and exactly one of them is kept; other
-    columns of `docs`, whatever their names, are not read; an empty table gives an empty result.
+    columns of `docs`, whatever their names, are not read; texts of any length are hashed whole; an empty table gives an
+    empty result.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     if fan_in < 2 or runs < 1:
         raise ValueError("fan_in is 2 or more, runs 1 or more")
-    entries = digest_runs(docs, id_col, text_col, runs)
-    groups = merge_runs(entries, runs, fan_in, keep).filter("group_size > 1")
-    rows = entries.drop("run").join(groups, KEY, "left")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    largest = keep == "largest"
+    rows = digests(docs, id_col, text_col)
+    level = materialize(sorted_runs(rows, runs, largest), "runs")
+    groups = merge_tree(level, runs, fan_in, largest).filter("group_size > 1")
+    groups = groups.select(*KEY, F.col("best.doc").alias("keep_id"), F.col("best.tag").alias("keep_tag"), "group_size")
     alone = F.col("group_size").isNull()
-    return rows.select(
+    return rows.join(groups, KEY, "left").select(
         F.col("doc").alias(id_col),
         F.when(alone, F.col("doc")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        ((alone | F.col("doc").eqNullSafe(F.col("keep_id"))) & (F.col("copy") == 1)).alias("kept"),
+        (alone | (F.col("tag") == F.col("keep_tag"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
