@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspan.llm.common import WORD_PATTERN, fresh, materialize, table, text_or_empty
+from larkspan.llm.common import WORD_PATTERN, discard, fresh, materialize, table, text_or_empty
 
 
 def target_sizes(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -31,109 +31,135 @@ def target_sizes(sources: DataFrame, weights: tuple[int, ...], share: float, mos
     return level.select("source", "source_size", target.alias("target"))
 
 
-def solve_rates(masses: DataFrame, targets: DataFrame, most: float, rounds: int = 60, close: float = 1e-12) -> DataFrame:
-    """(source, target, dual): Newton's method on the convex dual.
+def solve_rates(masses: DataFrame, targets: DataFrame, most: float, rounds: int = 80, close: float = 1e-13) -> DataFrame:
+    """(source, target, dual): Newton's method on the convex dual of the token constraints.
 
-    Each word is a unit whose rate may not be above `most`. Among all rates that meet a source's target, those nearest to
-    the prior rates in relative entropy are prior * exp(dual), cut at `most`; the dual's gradient is the words taken less
-    the target, its curvature the words taken below the limit. `masses` has (source, prior, words), summed beforehand;
-    every round sums them anew where they are, and a table with a row a source is all that is handed on.
+    Among all document rates under which a source's documents have its target of words, and none a rate above `most`, those
+    nearest to the priors in relative entropy are prior * exp(dual * size), cut at `most`: every document is tilted by its
+    own size. The gradient of the dual is the words taken less the target; its curvature, the sum of rate * size ** 2 over
+    documents below the limit. Both are sums over documents, made anew each round where `masses` lies: it has
+    (source, size, prior, rows), a row for all documents that are alike. What is handed on has a row a source. Steps are
+    Newton's on the logarithm of the words taken; one that leaves the bracket around the solution is replaced by its middle.
+    A source whose target is all it can give has the dual null: each of its documents has the rate `most`.
     """
-    state = materialize(targets.select("source", "target", F.lit(0.0).alias("dual")), "dual")
+    with_words = masses.filter("size > 0")
+    bounds = with_words.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("size") * F.col("rows")).cast("double").alias("words"), F.min("size").alias("least"), F.min("prior").alias("low"), F.max("prior").alias("high"))
+    met = targets.join(bounds, targets["source"].eqNullSafe(bounds["of"]))
+    full = F.col("target") >= F.col("words") * F.lit(float(most)) * (1 - 1e-15)
+    # At `lo` less than the target is taken, at `hi` all that can be.
+    lo = F.least(F.lit(0.0), F.log(F.col("target") / (F.col("words") * F.col("high"))) / F.col("least"))
+    hi = F.greatest(F.lit(0.0), F.log(F.lit(float(most)) / F.col("low")) / F.col("least"))
+    state = materialize(met.filter(~full & (F.col("target") > 0)).select("source", "target", lo.alias("lo"), hi.alias("hi"), F.lit(0.0).alias("dual")), "dual")
     for _ in range(rounds):
-        rate = F.least(F.col("prior") * F.exp("dual"), F.lit(float(most)))
-        at = state.join(masses, state["source"].eqNullSafe(masses["source"])).select(state["source"], "target", "dual", "words", "prior", rate.alias("rate"))
-        sums = at.groupBy("source", "target", "dual").agg(
-            F.sum(F.col("words") * F.col("rate")).alias("taken"),
-            # A rate just at the limit still counts: going down from there, it moves.
-            F.sum(F.when(F.col("prior") * F.exp("dual") <= most * (1 + 1e-12), F.col("words") * F.col("rate")).otherwise(0.0)).alias("curve"),
-            F.log(most / F.min("prior")).alias("top"),
-        )
-        step = F.when(F.col("curve") > 0, F.greatest(F.lit(-2.0), (F.col("target") - F.col("taken")) / F.col("curve"))).otherwise(0.0)
-        off = F.abs(F.col("target") - F.col("taken")) / F.greatest("target", F.lit(1.0))
-        state = materialize(sums.select("source", "target", F.least(F.col("dual") + step, F.col("top")).alias("dual"), off.alias("off")), "dual")
-        worst = state.agg(F.max(F.when(F.col("target") > 0, F.col("off")))).first()[0]
+        tilted = F.col("prior") * F.exp(F.col("dual") * F.col("size"))
+        words = F.col("rows") * F.col("size") * F.least(tilted, F.lit(float(most)))
+        at = state.join(with_words.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        sums = at.groupBy("source", "target", "lo", "hi", "dual").agg(F.sum(words).alias("taken"), F.sum(F.when(tilted < most, words * F.col("size")).otherwise(0.0)).alias("curve"))
+        lo, hi = F.when(F.col("taken") < F.col("target"), F.col("dual")).otherwise(F.col("lo")), F.when(F.col("taken") < F.col("target"), F.col("hi")).otherwise(F.col("dual"))
+        step = F.col("dual") + F.log(F.col("target") / F.col("taken")) * F.col("taken") / F.nullif(F.col("curve"), F.lit(0.0))
+        off = F.abs(F.col("target") - F.col("taken")) / F.col("target")
+        moved = sums.select("source", "target", lo.alias("lo"), hi.alias("hi"), F.when(off > close, step).otherwise(F.col("dual")).alias("dual"), off.alias("off"))
+        inside = (F.col("off") <= close) | ((F.col("dual") > F.col("lo")) & (F.col("dual") < F.col("hi")))
+        last, state = state, materialize(moved.withColumn("dual", F.when(inside, F.col("dual")).otherwise((F.col("lo") + F.col("hi")) / 2)), "dual")
+        discard(last)
+        worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= close:
             break
-    return state.select("source", "target", "dual")
+    return state.select("source", "target", "dual").unionAll(met.filter(full).select("source", "target", F.lit(None).cast("double")))
 
 
 def whole_copies(groups: DataFrame, most: int) -> DataFrame:
-    """(source, size, rows, first, copies): how many copies all documents of a source and size get together.
+    """(source, size, prior, rows, first, copies): how many copies all documents of a source, size and prior get together.
 
-    A source's sizes are gone through from the largest down; each gets the whole number nearest to its documents times
-    the rate that what is left of the quota has to what is left of the source. So what rounding a large document adds or
-    takes is made up by the smaller ones, and the error in the end is that of the smallest. `groups` has a row for each
-    source and size, and a task holds those of one source: its distinct sizes, whatever the number of documents.
+    A source's groups are gone through from the largest size down; each gets the whole number nearest to its documents
+    times their rate, more or less what rounding the groups before has left of words. So what rounding a large document
+    adds or takes is made up by the smaller ones, and the error in the end is that of the smallest. Words are counted in
+    thousandths, as whole numbers. `groups` has a row for each source, size and prior, and a task holds those of one
+    source: its distinct sizes, whatever the number of documents.
     """
 
     def run(rows):
-        rows = rows.sort_values("size", ascending=False)
-        rest, words, out = int(rows["quota"].iloc[0]), int((rows["size"] * rows["rows"]).sum()), []
-        for size, number in zip(rows["size"].tolist(), rows["rows"].tolist(), strict=True):
-            copies = min(most * number, (2 * number * max(0, rest) + words) // (2 * words)) if size else 0
-            rest, words = rest - copies * size, words - number * size
+        rows = rows.sort_values(["size", "prior"], ascending=False)
+        rest, out = 0, []
+        for size, number, ideal in zip(rows["size"].tolist(), rows["rows"].tolist(), rows["ideal"].tolist(), strict=True):
+            copies = max(0, min(most * number, (2 * (ideal + rest) + 1000 * size) // (2000 * size))) if size else 0
+            rest += ideal - 1000 * copies * size
             out.append(copies)
-        return rows[["source", "size", "rows", "first"]].assign(copies=out)
+        return rows[["source", "size", "prior", "rows", "first"]].assign(copies=out)
 
-    return groups.groupBy("source").applyInPandas(run, "source string, size long, rows long, first long, copies long")
+    return groups.groupBy("source").applyInPandas(run, "source string, size long, prior double, rows long, first long, copies long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_mark: bool = False) -> DataFrame:
-    """One row per row of `docs`: id, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prior_col: str | None = None, with_mark: bool = False) -> DataFrame:
+    """One row per row of `docs`: id, size, source_size, target, rate, copies, taken.
 
-    Size is the number of words. All rates of a source are equal in the end, as no document has a prior of its own; they
-    become whole copies in `whole_copies`, and the copies of a source and size are spread evenly over its documents in
-    order of id. The place of a document in that order comes from the number in each partition before it, so a source
+    Size is the number of words. `solve_rates` gives every document its rate, from its prior (of `prior_col`, above 0; 1
+    without) and its size; `whole_copies` makes them whole, and the copies of a group are spread evenly over its documents
+    in order of id. The place of a document in that order comes from the number in each partition before it, so a source
     that holds most rows is spread over partitions like any other.
 
     Defined results: null and blank texts have the size 0 and take 0 words; a null source is a source, the last in order;
-    a source without words has the target 0; null ids come before all; repeated rows are rounded one by one; other
-    columns are not read; an empty table gives an empty result.
+    a source without words has the target 0; null ids come before all; a prior that is null or not above 0 is 1; repeated
+    rows are rounded one by one; other columns are not read; very long texts count whole; an empty table gives an empty
+    result.
     """
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD_PATTERN)).cast("long")
-    mark = F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col)) if with_mark else F.lit(0).cast("long")
-    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc"), mark.alias("mark"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
-    masses = materialize(sized.groupBy("source").agg(F.sum("size").alias("words")).withColumn("prior", F.lit(1.0)), "masses")
-    targets = target_sizes(masses.select("source", F.col("words").alias("source_size")), weights, share, most)
-    duals = solve_rates(masses, targets, most)
-    taken = F.col("words") * F.least(F.col("prior") * F.exp("dual"), F.lit(float(most)))
-    # Twice rounded, so that the last bits of the solution can't decide at a half.
-    quotas = duals.join(masses, duals["source"].eqNullSafe(masses["source"])).select(duals["source"].alias("of"), "target", F.col("words").alias("source_size"), F.round(F.round(F.when(F.col("target") > 0, taken).otherwise(0.0), 6)).cast("long").alias("quota"))
+    mark = F.unhex(F.sha2(text_or_empty(text_col), 256)) if with_mark else F.lit(None).cast("binary")
+    given = F.lit(None) if prior_col is None else F.col(prior_col)
+    prior = F.when(given > 0, given).otherwise(1.0).cast("double")
+    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc"), mark.alias("mark"), F.col(source_col).cast("string").alias("source"), size.alias("size"), prior.alias("prior")), "sizes")
+    masses = materialize(sized.groupBy("source", "size", "prior").agg(F.count("*").alias("rows")), "masses")
+    totals = masses.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
+    targets = materialize(target_sizes(totals, weights, share, most), "targets")
+    duals = solve_rates(masses, targets, most).select(F.col("source").alias("of"), "dual", F.lit(True).alias("some"))
+    solved = targets.join(duals, targets["source"].eqNullSafe(duals["of"]), "left").drop("of").withColumnRenamed("source", "of")
     placed = materialize(ranked(sized), "placed")
-    groups = placed.groupBy("source", "size").agg(F.count("*").alias("rows"), F.min("place").alias("first"))
-    copies = whole_copies(groups.join(quotas, groups["source"].eqNullSafe(quotas["of"])).select("source", "size", "rows", "first", "quota"), most)
-    copies = copies.select(F.col("source").alias("of"), F.col("size").alias("of_size"), "rows", "first", "copies")
-    out = placed.join(copies, placed["source"].eqNullSafe(copies["of"]) & (placed["size"] == copies["of_size"])).drop("of", "of_size")
-    out = out.join(quotas, out["source"].eqNullSafe(quotas["of"]))
+    groups = placed.groupBy("source", "size", "prior").agg(F.count("*").alias("rows"), F.min("place").alias("first"))
+    groups = groups.join(solved, groups["source"].eqNullSafe(solved["of"])).drop("of")
+    tilted = F.least(F.col("prior") * F.exp(F.col("dual") * F.col("size")), F.lit(float(most)))
+    rate = F.when((F.col("size") == 0) | F.col("some").isNull(), 0.0).when(F.col("dual").isNull(), float(most)).otherwise(tilted)
+    groups = materialize(groups.withColumn("rate", rate).withColumn("ideal", F.round(F.col("rate") * F.col("rows") * F.col("size") * 1000).cast("long")), "groups")
+    copies = whole_copies(groups.select("source", "size", "prior", "rows", "first", "ideal"), most)
+    same = lambda a, b: a["source"].eqNullSafe(b["_source"]) & (a["size"] == b["_size"]) & (a["prior"] == b["_prior"])
+    named = lambda df: df.withColumnsRenamed({"source": "_source", "size": "_size", "prior": "_prior"})
+    told = named(copies)
+    shares = groups.select("source", "size", "prior", "source_size", "target", "rate").join(told, same(groups, told)).select("source", "size", "prior", "source_size", "target", "rate", "rows", "first", "copies")
+    told = named(shares)
     number = F.expr("cast(((place - first + 1) * copies) div rows - ((place - first) * copies) div rows as int)")
-    out = out.select(F.col("doc").alias(id_col), "size", "source_size", "target", number.alias("copies"), *(["mark"] if with_mark else []))
+    out = placed.join(told, same(placed, told))
+    out = out.select(F.col("doc").alias(id_col), "size", "source_size", "target", F.round("rate", 6).alias("rate"), number.alias("copies"), *(["mark"] if with_mark else []))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of `docs`, each as many times as `mix` says, with all their columns.
 
-    Rows find their copies by id and text; rows that repeat both share what they get, rounded up.
+    Rows find their copies by id and SHA-256 of the text; rows that repeat both share what they get, the first ones a copy
+    more where it doesn't come out even.
     """
-    own, text = F.col(id_col).cast("long"), text_or_empty(text_col)
     shares = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, with_mark=True, **options)
-    shares = shares.groupBy("mark").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
-    mark, copies, copy = fresh(docs, "_mix_mark", "_mix_copies", "_mix_copy")
-    shares = shares.select(F.col("mark").alias(mark), F.ceil(F.col("all") / F.col("rows")).cast("int").alias(copies)).filter(F.col(copies) > 0)
-    joined = docs.join(shares, F.xxhash64(own, text) == F.col(mark))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
+    own, mark, copies, rows, place, copy = fresh(docs, "_mix_id", "_mix_mark", "_mix_copies", "_mix_rows", "_mix_place", "_mix_copy")
+    shares = shares.groupBy(F.col(id_col).alias(own), F.col("mark").alias(mark)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).filter(F.col(copies) > 0)
+    found = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.unhex(F.sha2(text_or_empty(text_col), 256)) == F.col(mark))
+    joined = docs.join(shares, found)
+    once = joined.filter(F.col(rows) == 1).withColumn(place, F.lit(1))
+    again = joined.filter(F.col(rows) > 1).withColumn(place, F.row_number().over(Window.partitionBy(own, mark).orderBy(F.lit(0))))
+    number = F.floor(F.col(copies) / F.col(rows)).cast("int") + (F.col(place) <= F.col(copies) % F.col(rows)).cast("int")
+    each = once.unionByName(again).withColumn(copies, number).filter(F.col(copies) > 0)
+    return each.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def ranked(sized: DataFrame) -> DataFrame:
-    """Adds place: the number, from 1, of the row among its source's by size and id, by prefix sums over partitions."""
-    dealt = sized.repartitionByRange("source", "size", "doc").sortWithinPartitions("source", "size", "doc")
-    window = Window.partitionBy("part", "source").orderBy("size", "doc")
+    """Adds place: the number, from 1, of the row among its source's by size, prior and id, by prefix sums over partitions."""
+    order = ["source", "size", "prior", "doc"]
+    dealt = sized.repartitionByRange(*order).sortWithinPartitions(*order)
+    window = Window.partitionBy("part", "source").orderBy("size", "prior", "doc")
     dealt = materialize(dealt.withColumn("part", F.spark_partition_id()), "dealt")
     sums = dealt.groupBy("source", "part").agg(F.count("*").alias("rows"))
     before = sums.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rows")
     local = dealt.withColumn("local", F.row_number().over(window))
-    return local.join(before, (local["part"] == before["part"]) & local["source"].eqNullSafe(before["source"])).select(local["doc"], local["mark"], local["source"], "size", (F.col("local") + F.col("before")).alias("place"))
+    found = local.join(before, (local["part"] == before["part"]) & local["source"].eqNullSafe(before["source"]))
+    return found.select(local["doc"], local["mark"], local["source"], "size", "prior", (F.col("local") + F.col("before")).alias("place"))
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -156,20 +182,32 @@ WITH RECURSIVE d AS (
     SELECT ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - full_) / open_ AS level, cap / weight AS bound FROM b) WHERE level <= bound
 ), t AS (
   SELECT source, source_size, CASE WHEN level IS NULL OR weight * level >= cap THEN cap ELSE weight * level END AS target FROM w, l
+), g AS (
+  SELECT d.source, d.size, count(*) AS n, any_value(target) AS target, any_value(s.source_size) AS source_size,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC) AS k
+  FROM d JOIN t s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.source, d.size
+), e AS (
+  SELECT source, target, least(0, ln(target / source_size) / min(size)) AS lo, ln(2.0::DOUBLE) / min(size) AS hi, 0 AS it
+  FROM g WHERE size > 0 AND target > 0 AND target < 2 * source_size GROUP BY source, target, source_size
+  UNION ALL
+  SELECT e.source, e.target,
+    CASE WHEN sum(n * size * least(exp((lo + hi) / 2 * size), 2)) < e.target THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN sum(n * size * least(exp((lo + hi) / 2 * size), 2)) < e.target THEN hi ELSE (lo + hi) / 2 END, it + 1
+  FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source WHERE it < 100 GROUP BY e.source, e.target, lo, hi, it
+), i AS (
+  SELECT g.*, CASE WHEN size = 0 OR g.target = 0 THEN 0 WHEN lo IS NULL THEN 2.0::DOUBLE ELSE least(exp((lo + hi) / 2 * size), 2) END AS rate
+  FROM g LEFT JOIN (SELECT * FROM e WHERE it = 100) e ON e.source IS NOT DISTINCT FROM g.source
 ), p AS (
   SELECT doc_id, source, size, row_number() OVER (PARTITION BY source, size ORDER BY doc_id NULLS FIRST) AS place FROM d
-), g AS (
-  SELECT source, size, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS k FROM d GROUP BY source, size
 ), r AS (
-  SELECT source, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS n, CAST(0 AS HUGEINT) AS m,
-    CAST(round(round(target, 6)) AS HUGEINT) AS rest, CAST(source_size AS HUGEINT) AS words FROM t
+  SELECT source, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS n, CAST(0 AS HUGEINT) AS m, CAST(0 AS HUGEINT) AS rest, 0.0::DOUBLE AS rate FROM t
   UNION ALL
-  SELECT source, k, size, n, m, rest - m * size, words - n * size FROM (
-    SELECT g.source, g.k, g.size, g.n, r.rest, r.words,
-      CASE WHEN g.size = 0 THEN 0 ELSE least(2 * g.n, (2 * g.n * greatest(r.rest, 0) + r.words) // (2 * r.words)) END AS m
-    FROM r JOIN g ON g.source IS NOT DISTINCT FROM r.source AND g.k = r.k + 1)
+  SELECT source, k, size, n, m, rest + ideal - 1000 * m * size, rate FROM (
+    SELECT g.source, g.k, g.size, g.n, r.rest, g.ideal, g.rate,
+      CASE WHEN g.size = 0 THEN 0 ELSE greatest(0, least(2 * g.n, CAST(floor((2 * (g.ideal + r.rest) + 1000 * g.size) / (2000 * g.size)) AS HUGEINT))) END AS m
+    FROM r JOIN (SELECT *, CAST(round(rate * n * size * 1000) AS HUGEINT) AS ideal FROM i) g ON g.source IS NOT DISTINCT FROM r.source AND g.k = r.k + 1)
 )
-SELECT doc_id, p.size, source_size, target, CAST(p.place * m // n - (p.place - 1) * m // n AS INTEGER) AS copies,
+SELECT doc_id, p.size, source_size, target, round(rate, 6) AS rate, CAST(p.place * m // n - (p.place - 1) * m // n AS INTEGER) AS copies,
   CAST((p.place * m // n - (p.place - 1) * m // n) * p.size AS BIGINT) AS taken
 FROM p JOIN r ON r.k > 0 AND p.source IS NOT DISTINCT FROM r.source AND p.size = r.size
 JOIN t ON p.source IS NOT DISTINCT FROM t.source
