@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import table
+from larkspan.llm.url_labels import labelled_urls
 
 #: (host, path start, verdict): the rules of the contract, fixed values.
 RULES = (
@@ -22,18 +23,6 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: The labelled table that the regression learns from: words that make up hosts and paths of either kind. Each blocked
-#: word makes rows in every shape below, and so does each plain word.
-BLOCKED_WORDS = ("spam-farm", "cheap-pills", "casino", "free-money", "adult-xxx", "adult-x", "click-bait", "win-prize", "casino-win", "free-bets", "ads-track", "ads-click", "pirate-warez", "hot-pills")
-PLAIN_WORDS = ("news", "library", "school", "weather", "museum", "garden", "science", "history", "music", "travel", "blog.writer", "m.daily", "that", "theatre", "reading", "northern", "long-term", "open-source")
-SHAPES = ("http://www.{}.example.net/en/12", "https://{}.example.com/es/345/", "https://{}.example.org/fr/67.html", "http://{}.test/de/a-page?x=1", "https://www.host.example.net/{}/89")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 to block or 0 to allow)."""
-    return [(shape.format(word), label) for words, label in ((BLOCKED_WORDS, 1), (PLAIN_WORDS, 0)) for word in words for shape in SHAPES]
-
-
 def host_and_path(url: str | None) -> tuple[str, str]:
     """Host: after the first :// up to a slash, question mark, hash or the end, A-Z lower-cased; path: from there on."""
     _, mark, rest = (url or "").partition("://")
@@ -70,7 +59,7 @@ def hashed(host: str, path: str, grams: tuple[int, ...], buckets: int) -> np.nda
     return np.fromiter(sorted(found), np.int64, len(found))
 
 
-def train(rows: list[tuple[str, int]], grams: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 15, epochs: int = 60, rate: float = 0.5, shrink: float = 1e-4, seed: int = 3) -> Regression:
+def train(rows: list[tuple[str, int]], grams: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 15, epochs: int = 60, rate: float = 2.0, shrink: float = 1e-2, seed: int = 3) -> Regression:
     """Stochastic gradient descent with weight decay; the same rows give the same weights. Without rows all is allowed."""
     model = Regression(np.zeros(buckets), -1.0 if not rows else 0.0, grams)
     weight, bias = model.weight, model.bias
@@ -81,7 +70,7 @@ def train(rows: list[tuple[str, int]], grams: tuple[int, ...] = (3, 4, 5), bucke
             found, label = examples[k]
             scale = 1 / np.sqrt(max(1, len(found)))
             error = 1 / (1 + np.exp(-(bias + weight[found].sum() * scale))) - label
-            step = rate / (1 + epoch)
+            step = rate / (1 + epoch / 10)
             weight[found] -= step * (error * scale + shrink * weight[found])
             bias -= step * error * 0.1
     return Regression(weight, float(bias), grams)
@@ -101,7 +90,8 @@ def judge_urls(pages: DataFrame, model: Regression, rules=RULES, id_col: str = "
     """id, host, path, rule, verdict and probability (that the method would block), for every row.
 
     Defined results: a url that is null or has no :// has an empty host and path, which no rule fits; ids may be null or
-    repeat, rows are judged one by one; other columns, such as the page itself, are not read.
+    repeat, rows are judged one by one; urls may have any length; of two rules of one length that fit, the smaller string
+    wins; other columns, such as the page itself, are not read; an empty table gives an empty result.
     """
     after = F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"(?s)^.*?://(.*)$", 1)
     host = F.translate(F.regexp_extract(after, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
