@@ -43,10 +43,14 @@ class Block:
             self.by_length[length] = (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], float).reshape(len(own), length))
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _fits(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether inner products of rows over their whole length, and so all sums of parts of them, are exact as floats."""
+    return a.shape[1] * (np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) < _EXACT
+
+
+def _product(a: np.ndarray, b: np.ndarray, fits: bool) -> np.ndarray:
     """Inner products of rows, exact: by Python's integers where floating point would not be."""
-    most = a.shape[1] * (np.abs(a).max(initial=0) * np.abs(b).max(initial=0))
-    if most < _EXACT:
+    if fits:
         return a @ b.T
     exact = np.vectorize(int, otypes=[object])
     return exact(a) @ exact(b).T if a.size and b.size else np.zeros((len(a), len(b)))
@@ -102,7 +106,8 @@ def _scan(block: Block, k: int, segments: int, cutoffs: dict[int, float] | None)
                 for i in range(0, len(found[0]), _ROWS):
                     names, queries = found[0][i : i + _ROWS], found[1][i : i + _ROWS]
                     cuts = _segments(matrix.shape[1], segments)
-                    local = [_product(queries[:, c], matrix[:, c]) for c in cuts]
+                    fits = _fits(queries, matrix)
+                    local = [_product(queries[:, c], matrix[:, c], fits) for c in cuts]
                     other = names[:, None] != ids[None, :]
                     if cutoffs is None:
                         taken = np.zeros(other.shape, bool)
