@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,10 +60,23 @@ def fts_terms(c: Column) -> Column:
     return F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
 
+def _folds() -> tuple[str, str]:
+    """Letters that are another letter with marks, and that letter: by Unicode's canonical decomposition."""
+    letters, plain = [], []
+    for code in range(0xC0, 0x2000):
+        bare = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.category(c).startswith("M"))
+        if len(bare) == 1 and bare != chr(code):
+            letters.append(chr(code))
+            plain.append(bare)
+    return "".join(letters), "".join(plain)
+
+
+_LETTERS, _PLAIN = _folds()
+
+
 def index_tokens(c: Column) -> Column:
     """Tokens of the keyword index: folded to lower case without diacritics, cut at all but letters and digits."""
-    plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďđēėęěğīįłńňőœřśšşťūůűųźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdđeeeegiilnnoœrssstuuuuzzz")
-    bare = F.regexp_replace(plain, r"\p{M}", "")
+    bare = F.regexp_replace(F.translate(F.lower(c), _LETTERS, _PLAIN), r"\p{M}", "")
     return F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.chunks import chunks
 from larkspan.operators.fusion import fuse_hits
-from larkspan.operators.keyword import bm25
+from larkspan.operators.keyword import keyword_top
 from larkspan.operators.nearest import nearest
 from larkspan.operators.ranking import top_k_per
 from larkspan.operators.rerank import hash_embedding
@@ -32,20 +32,19 @@ def embed_chunks(chunks: DataFrame, most: int = 512) -> DataFrame:
     return chunks.withColumn("embedding", hash_embedding(F.substring("text", 1, most)))
 
 
-def keyword_hits(queries: DataFrame, texts: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(query_id, hit_id, score, rank). `where` filters hits, not the statistics, which are those of the whole index."""
-    scored = bm25(queries, texts.select("hit_id", "text")).withColumn("score", F.round("score", 6))
-    if where is not None:
-        scored = scored.join(texts.filter(where).select("hit_id"), "hit_id", "left_semi")
-    return top_k_per(scored, ["query_id"], [F.col("score").desc(), "hit_id"], k)
+def keyword_hits(queries: DataFrame, texts: DataFrame, k: int, where: Column | None = None, same_group: bool = False) -> DataFrame:
+    """(query_id, hit_id, score, rank), see `keyword_top`."""
+    return keyword_top(queries, texts, k, where, same_group)
 
 
-def hybrid(queries: DataFrame, texts: DataFrame, vectors: DataFrame, k: int = 5, over: int = 3) -> DataFrame:
+def hybrid(queries: DataFrame, texts: DataFrame, vectors: DataFrame, k: int = 5, over: int = 3, where: Column | None = None, same_group: bool = False) -> DataFrame:
     """(query_id, hit_id, score, matched_by, rank): keyword and vector hits, `over` times as many as wanted, fused.
 
-    queries: (query_id, text, embedding), texts: (hit_id, text), vectors: (hit_id, embedding).
+    queries: (query_id, text, embedding[, grp]), texts: (hit_id, text[, grp]), vectors: (hit_id, embedding[, grp]); `where`
+    is over columns that texts and vectors both have. Both halves rank only what a query may see.
     """
-    words = keyword_hits(queries, texts, over * k)
-    near = nearest(queries.select("query_id", "embedding"), vectors, over * k)
+    own = ["grp"] if same_group else []
+    words = keyword_hits(queries.select("query_id", "text", *own), texts, over * k, where, same_group)
+    near = nearest(queries.select("query_id", "embedding", *own), vectors if where is None else vectors.filter(where), over * k, same_group=same_group)
     fused = fuse_hits(words, near).withColumn("score", F.round("score", 9))
     return top_k_per(fused, ["query_id"], [F.col("score").desc(), "hit_id"], k)
