@@ -32,3 +32,19 @@ def search(notes: DataFrame, query: str, limit: int | None = None, where: Column
     hay = F.lower(F.concat_ws(" ", "text", "topic", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ") if "tags" in notes.columns else F.lit("")))
     scored = recent.withColumn("score", overlap(note_tokens(F.lit(query)), hay)).filter("score > 0")
     return top_k_per(scored, list(SCOPE), [F.col("score").desc(), "_n"], clamp(limit, 20, 100)).drop("_n")
+
+
+def recalled(requests: DataFrame, notes: DataFrame, limit: int) -> DataFrame:
+    """(request_id, rank, score, note's columns) of requests (request_id, query, topic, session, scope), null for any.
+
+    Of each request's scope, topic and session the newest `MOST` notes are looked at, as `search` does; a request without a
+    query takes the newest, with the score null.
+    """
+    own = requests.select("request_id", F.nullif(F.trim("query"), F.lit("")).alias("_query"), F.col("topic").alias("_topic"), F.col("session").alias("_session"), *SCOPE)
+    met = notes.join(own, list(SCOPE)).filter((F.col("_topic").isNull() | (F.col("topic") == F.col("_topic"))) & (F.col("_session").isNull() | (F.col("session") == F.col("_session"))))
+    recent = top_k_per(met, ["request_id"], [F.col("ts").desc(), F.col("seq").desc()], MOST, "_n")
+    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ") if "tags" in notes.columns else F.lit("")
+    hay = F.lower(F.concat_ws(" ", "text", "topic", tags))
+    scored = recent.withColumn("score", F.when(F.col("_query").isNotNull(), overlap(note_tokens(F.col("_query")), hay)))
+    found = scored.filter(F.col("score").isNull() | (F.col("score") > 0))
+    return top_k_per(found, ["request_id"], [F.col("score").desc(), "_n"], limit).select("request_id", "rank", "score", *notes.columns)
