@@ -69,3 +69,11 @@ def provider_summary(attempts: DataFrame, errors: int = 3) -> DataFrame:
     top = top_k_per(counted, ["provider"], [F.col("n").desc(), "message"], errors)
     listed = top.groupBy("provider").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "message", "n"))), lambda x: F.concat(x["message"], F.lit(" x"), x["n"].cast("string"))), "; ").alias("top_errors"))
     return base.join(listed, "provider", "left")
+
+
+def benchmark_lines(attempts: DataFrame) -> DataFrame:
+    """(provider, line): a Markdown row of successes, median and 95th percentile in milliseconds."""
+    summary = provider_summary(attempts)
+    cell = lambda c: F.round(c).cast("long").cast("string")
+    parts = [F.col("provider"), F.concat_ws("/", F.col("ok").cast("string"), F.col("attempts").cast("string")), cell("p50_ms"), cell("p95_ms")]
+    return summary.select("provider", F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |")).alias("line"))

@@ -17,6 +17,11 @@ def _scope(column: str) -> str:
     return ", ".join(x.replace("{id}", column) for x in (_MODE, _TENANT, _WORKSPACE))
 
 
+def scope_of(column: str) -> list[str]:
+    """The scope columns that follow from an id, as SQL."""
+    return [x.replace("{id}", column) for x in (_MODE, _TENANT, _WORKSPACE)]
+
+
 def _listed(provider: str, ordinal: int, step: int) -> str:
     return (
         f"SELECT page_id % 40 AS query_id, '{provider}' AS provider, {ordinal} AS provider_ord, page_id, url, concat('Page ', CAST(page_id AS STRING)) AS title, "

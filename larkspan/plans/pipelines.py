@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from larkspan.catalog import query, table
 from larkspan.functions import text
 from larkspan.functions.chunks import chunks
-from larkspan.operators import answers, execution, fusion, index, ranking
+from larkspan.operators import answers, execution, fusion, index, ranking, search
 from larkspan.operators.rerank import hash_embedding
-from larkspan.plans.bases import base, sub
+from larkspan.plans.bases import base, scope_of, sub
 from larkspan.plans.ranking import KEY
-from larkspan.plans.retrieval import BM25_SQL, _RANKED
+from larkspan.plans.retrieval import BM25_SQL, _FUSED, _RANKED, _VECTORS
 
 _PROVIDERS = ["brave", "google", "bing"]
 
@@ -56,7 +56,8 @@ def ret10_plan_execution(spark, d):
 
 @query("ret11_web_search", _PLANNED + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s) SELECT query_id, key, score, rank FROM r WHERE rank <= 5")
 def ret11_web_search(spark, d):
-    return ranking.top_k_per(ret10_plan_execution(spark, d), ["query_id"], [F.col("score").desc(), "key"], 5)
+    found = search.web_search(_requests(spark, d), base(spark, d, "results"), _PROVIDERS, 5, strategy="auto")
+    return found.select("query_id", "key", "score", "rank")
 
 
 @query("src19_provider_attempts", f"SELECT query_id, provider, count(DISTINCT url) AS result_count, CASE WHEN provider = 'google' THEN 'backoff' ELSE 'ok' END AS status FROM {sub('results')} GROUP BY 1, 2".replace("count(DISTINCT url) AS result_count", "CASE WHEN provider = 'google' THEN 0 ELSE count(DISTINCT url) END AS result_count"))
@@ -82,15 +83,22 @@ def ret19_embedded_chunks(spark, d):
     return made.filter(size > 0).groupBy("doc_id").agg(F.min(F.abs(size - 1) < 1e-9).alias("unit"))
 
 
-@query("ret14_search_index", BM25_SQL + _RANKED.format(name="r", of="scored") + " SELECT query_id, hit_id, score, rank FROM r WHERE rank <= 5")
+_OWN = """, own AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.hit_id WHERE d.source = 'src1'),
+ownnear AS (SELECT n.* FROM near n JOIN documents d ON d.doc_id = n.hit_id WHERE d.source = 'src1')"""
+
+
+@query("ret14_search_index", BM25_SQL + _VECTORS + _OWN + _RANKED.format(name="w", of="own") + _RANKED.format(name="n", of="ownnear") + _FUSED + _RANKED.format(name="r", of="fused") + " SELECT query_id, hit_id, score, matched_by, rank FROM r WHERE rank <= 5")
 def ret14_search_index(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.rewrite_query(F.col("text")).alias("text"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return index.keyword_hits(asked, docs, 5).select("query_id", "hit_id", "score", "rank")
+    """The question's start goes; keyword and vector hits of one source are fused."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), F.coalesce("text", F.lit("")).alias("text"), "source")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("hit_id"), "embedding")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.rewrite_query(F.concat(F.lit("How to "), "text")).alias("text"))
+    asked = asked.join(vectors.withColumnRenamed("hit_id", "query_id"), "query_id", "left")
+    return index.hybrid(asked, docs, vectors.join(docs.drop("text"), "hit_id"), 5, where=F.col("source") == "src1")
 
 
 def _question_sources(spark, d):
-    hits = ret14_search_index(spark, d).filter("rank <= 3")
+    hits = index.keyword_hits(*_inputs(spark, d), 3)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), F.col("text").alias("content"), F.col("source").alias("title"))
     rows = hits.join(docs, "hit_id").select("query_id", F.col("rank").alias("source"), F.concat(F.lit("doc:"), F.col("hit_id").cast("string")).alias("url"), "title", "content")
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), rows
@@ -115,13 +123,48 @@ def fns11_version_answers(spark, d):
     return found.select("query_id", "name", F.when(F.col("major") > 0, F.col("major")).otherwise(0).alias("major"), "minor", "patch")
 
 
-@query("ret13_local_and_web", BM25_SQL + _RANKED.format(name="r", of="scored") + """
-SELECT query_id, count(*) FILTER (WHERE rank <= 3) AS local_hits, count(*) FILTER (WHERE rank BETWEEN 4 AND 5) AS web_hits FROM r GROUP BY 1""")
+_SCOPED = scope_of("query_id")
+
+_RESEARCH = _PLANNED.replace("WITH ", BM25_SQL.strip() + ", ", 1) + f""",
+q AS (SELECT query_id, {", ".join(_SCOPED)} FROM (SELECT item_id AS query_id FROM benchmark)),
+shown AS (SELECT query_id, key, min({{'o': ord, 'p': pos, 'u': url}}).u AS url FROM c GROUP BY 1, 2),
+web AS (SELECT query_id, url, rank FROM (SELECT s.query_id, h.url, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, s.key) AS rank FROM s JOIN shown h ON h.query_id = s.query_id AND h.key = s.key) JOIN q USING (query_id) WHERE rank <= 3),
+known AS (SELECT DISTINCT execution_mode, tenant_id, workspace_id, url FROM {sub('cache')} WHERE page_id % 3 = 0),
+own AS (SELECT DISTINCT execution_mode, tenant_id, workspace_id, url FROM {sub('cache')}),
+loc AS (SELECT query_id, 'doc:' || hit_id AS url, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS rank FROM scored),
+b AS (SELECT w.query_id, 'web' AS origin, w.rank, w.url, CASE WHEN o.url IS NULL THEN 'fetch_failed' WHEN k.url IS NOT NULL THEN 'already_indexed' ELSE 'indexed' END AS status
+  FROM web w JOIN q USING (query_id) LEFT JOIN own o ON o.url = w.url AND o.execution_mode = q.execution_mode AND o.tenant_id = q.tenant_id AND o.workspace_id = q.workspace_id
+  LEFT JOIN known k ON k.url = w.url AND k.execution_mode = q.execution_mode AND k.tenant_id = q.tenant_id AND k.workspace_id = q.workspace_id
+  UNION ALL SELECT query_id, 'local', rank, url, 'already_indexed' FROM loc WHERE rank <= 3),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY origin DESC, rank) AS place FROM b)
+SELECT query_id, place, origin, url, status, CASE WHEN status <> 'fetch_failed' THEN CAST(place - count(*) FILTER (WHERE status = 'fetch_failed') OVER (PARTITION BY query_id ORDER BY place) AS INT) ELSE 0 END AS source FROM pl"""
+
+
+def _research(spark, d):
+    """The sources of each question: results of its planned search whose pages its scope has or not, and local hits."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").selectExpr("query_id", "text", *_SCOPED)
+    asked = _requests(spark, d).join(questions, "query_id", "left_semi")
+    found = search.web_search(asked, base(spark, d, "results"), _PROVIDERS, 3, strategy="auto")
+    hits = index.keyword_hits(*_inputs(spark, d), 3)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), F.col("text").alias("content"), F.col("source").alias("title"))
+    local = hits.join(docs, "hit_id").select("query_id", "rank", F.concat(F.lit("doc:"), F.col("hit_id").cast("string")).alias("url"), "title", F.coalesce("content", F.lit("")).alias("content"))
+    pages = base(spark, d, "cache")
+    return questions, search.research_sources(questions, found, local, pages, pages.filter("page_id % 3 = 0"), True)
+
+
+@query("ret13_local_and_web", _RESEARCH)
 def ret13_local_and_web(spark, d):
-    hits = index.keyword_hits(*_inputs(spark, d), 5)
-    local = hits.filter("rank <= 3").select("query_id", "hit_id")
-    web = hits.join(local, ["query_id", "hit_id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("web_hits"))
-    return local.groupBy("query_id").agg(F.count("*").alias("local_hits")).join(web, "query_id", "left").select("query_id", "local_hits", F.coalesce("web_hits", F.lit(0)).alias("web_hits"))
+    return _research(spark, d)[1].select("query_id", "place", "origin", "url", "status", F.coalesce("source", F.lit(0)).alias("source"))
+
+
+@query("ret12_deep_answers")
+def ret12_deep_answers(spark, d):
+    """Answers from the first two results that could be read, whose pages are turned to text."""
+    from larkspan.functions.html import article_of
+
+    questions, sources = _research(spark, d)
+    read = sources.filter("origin = 'web' AND source <= 2").withColumn("content", F.coalesce(article_of(F.col("content"))["content"], F.lit("")))
+    return answers.answers(questions.select("query_id", F.col("text").alias("question")), read.select("query_id", "source", "url", "title", "content"))
 
 
 def _inputs(spark, d):

@@ -68,9 +68,12 @@ _VECTORS = """, near AS (SELECT q.vec_id AS query_id, v.vec_id AS hit_id, round(
   FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings v)"""
 
 
-@query("ret3_hybrid_search", BM25_SQL + _VECTORS + _RANKED.format(name="w", of="scored") + _RANKED.format(name="n", of="near") + """,
+_FUSED = """,
 u AS (SELECT query_id, hit_id, rank, 'keyword' AS kind FROM w WHERE rank <= 15 UNION ALL SELECT query_id, hit_id, rank, 'vector' FROM n WHERE rank <= 15),
-fused AS (SELECT query_id, hit_id, round(sum(1.0 / (60 + rank)), 9) AS score, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(kind) END AS matched_by FROM u GROUP BY 1, 2)""" + _RANKED.format(name="r", of="fused") + " SELECT query_id, hit_id, score, matched_by, rank FROM r WHERE rank <= 5")
+fused AS (SELECT query_id, hit_id, round(sum(1.0 / (60 + rank)), 9) AS score, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(kind) END AS matched_by FROM u GROUP BY 1, 2)"""
+
+
+@query("ret3_hybrid_search", BM25_SQL + _VECTORS + _RANKED.format(name="w", of="scored") + _RANKED.format(name="n", of="near") + _FUSED + _RANKED.format(name="r", of="fused") + " SELECT query_id, hit_id, score, matched_by, rank FROM r WHERE rank <= 5")
 def ret3_hybrid_search(spark, d):
     v = table(spark, d, "embeddings")
     asked = _queries(spark, d).join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")

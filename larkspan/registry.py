@@ -7,7 +7,7 @@ from importlib import import_module
 from larkspan.catalog import ORACLE_SQL, QUERIES
 
 #: Importing a plan module registers its queries.
-PLANS = ("relational", "ranking", "text_functions", "retrieval", "stores", "graph_memory", "operations", "streams", "pipelines")
+PLANS = ("relational", "ranking", "text_functions", "retrieval", "stores", "graph_memory", "operations", "streams", "pipelines", "composites")
 
 for _name in PLANS:
     import_module(f"larkspan.plans.{_name}")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.tables import shared_root
+
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """A stream of the Parquet files of a table; a bound on files a batch keeps back-pressure."""
@@ -47,8 +48,7 @@ def counters(events: DataFrame, keys: list[str]) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there and return its result as a table, written to the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkspan-")
-    base = f"{root.rstrip('/')}/larkspan/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/larkspan/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         # In complete mode each batch is the whole result, else what is new; a batch that runs again overwrites itself.

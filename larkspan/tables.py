@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` under `spark.checkpoint.dir` (unset: a temporary folder) and read it back: it is computed once."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`. Where that is unset, a temporary one serves in local mode; on a cluster it would
+    be another one on every machine, so there the setting is required."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="larkspan-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/larkspan/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back: it is computed once."""
+    path = f"{shared_root(df.sparkSession)}/larkspan/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
