@@ -217,15 +217,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS, id_co
         for batch in batches:
             for doc, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = document_features(text, settings)
-                yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([label], pa.int32()), pa.array([list(found)], pa.list_(pa.int32())), pa.array([list(found.values())], pa.list_(pa.int32()))], ["id", "label", "features", "counts"])
+                packed = (np.fromiter(x, "<u4", len(found)).tobytes() for x in (found.keys(), found.values()))
+                yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([label], pa.int32()), *(pa.array([x]) for x in packed)], ["id", "label", "features", "counts"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(sample, "id").select("id", "label", "text")
-    rows = texts.mapInArrow(features, "id long, label int, features array<int>, counts array<int>").toPandas()
-    rows = sorted(zip(rows["id"], rows["label"], rows["features"], rows["counts"], strict=True), key=lambda r: (r[0], len(r[2]), tuple(r[2][:20])))
+    rows = texts.mapInArrow(features, "id long, label int, features binary, counts binary").collect()
     examples = []
-    for _, label, found, counts in rows:
-        counts = np.asarray(counts, float)
-        examples.append((np.asarray(found, np.int32), counts / counts.sum() if len(counts) else counts, int(label)))
+    for row in sorted(rows, key=lambda r: (r.id, bytes(r.features), bytes(r.counts))):
+        counts = np.frombuffer(row.counts, "<u4").astype(np.float32)
+        examples.append((np.frombuffer(row.features, "<u4"), counts / counts.sum() if len(counts) else counts, row.label))
     return train(examples, settings)
 
 
