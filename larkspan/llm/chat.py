@@ -37,8 +37,9 @@ def format_conversations(turns: DataFrame, source: str = TEMPLATE, controls: tup
     within a piece, and a piece is closed once it has `most_chars`.
 
     Defined results: null roles and texts count as empty; a null conversation id is a conversation; null turns come
-    first; rows of the same turn follow one another by role, then text; repeated rows are turns of their own; other
-    columns are not read.
+    first; rows of the same turn follow one another by role, then text; repeated rows are turns of their own; texts may
+    have any length; other columns, whatever their names, are not read; an empty table gives an empty result. Reading
+    back, the digest of a conversation is made in one stream, however hot it is.
     """
     if Template(source, controls).turn is None:
         raise ValueError("the template has one loop over messages, at its top level")
