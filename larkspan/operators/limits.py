@@ -113,10 +113,10 @@ def health(attempts: DataFrame, key: str, order: list[str], ok: str, last: int =
 def usage(events: DataFrame, keys: list[str], ok: str, most: int = 10_000, order: str = "event_id") -> DataFrame:
     """Calls and errors of each key combination, of each prefix of it and in all; combinations first seen after the first
     `most` count in the sums but have no row of their own."""
-    first = events.groupBy(*keys).agg(F.min(order).alias("_first"))
-    ranked = first.withColumn("_n", F.row_number().over(Window.orderBy("_first"))).select(*keys, "_n")
+    # A limit behind an order keeps `most` rows a task before anything moves.
+    early = events.groupBy(*keys).agg(F.min(order).alias("_first")).orderBy("_first", *keys).limit(most).select(*keys)
     sums = events.rollup(*keys).agg(F.count("*").alias("calls"), F.count_if(~F.col(ok)).alias("errors"), F.grouping_id().alias("level"))
-    whole = sums.filter("level = 0").join(ranked.filter(F.col("_n") <= most).drop("_n"), keys, "left_semi")
+    whole = sums.filter("level = 0").join(early, keys, "left_semi")
     return sums.filter("level <> 0").unionByName(whole)
 
 
