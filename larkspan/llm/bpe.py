@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import table, text_or_empty
-from larkspan.llm.parts import LETTERS, Parts, batches, per_text
+from larkspan.llm.parts import LETTERS, Parts, batches, joined, per_text, woven
 
 
 def read_ranks(path: str) -> bytes:
@@ -220,12 +220,13 @@ class Encoder:
     def _never(words: pa.Array) -> pa.Array:
         return pa.array(np.zeros(len(words), bool))
 
-    def _encoded(self, units: list[str]) -> list[list[int]]:
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encode = self.transducer.encode
         if not self.regular:
-            return [encode(u.encode()) for u in units]
+            return joined([encode(u.encode()) for u in units], "<i4")
         plain = self._simple(pa.array(units, pa.string())).to_pylist()
-        return [encode(u.encode()) if p else list(chain.from_iterable(encode(x.encode()) for x in self.split.findall(u))) for u, p in zip(units, plain, strict=True)]
+        rows = [encode(u.encode()) if p else list(chain.from_iterable(encode(x.encode()) for x in self.split.findall(u))) for u, p in zip(units, plain, strict=True)]
+        return joined(rows, "<i4")
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         found = [self.split.findall(t) for t in texts.to_pylist()]
@@ -242,13 +243,7 @@ class Encoder:
             ids, sizes = self.parts.gather(flat, self._never, None)
             return ids, per_text(sizes, bounds)
         if odd.any():
-            one, other = (self.encode_all(texts.filter(pa.array(m))) for m in (odd, ~odd))
-            sizes = np.empty(len(texts), np.int64)
-            sizes[odd], sizes[~odd] = one[1], other[1]
-            ids = np.empty(int(sizes.sum()), one[0].dtype)
-            mask = np.repeat(odd, sizes)
-            ids[mask], ids[~mask] = one[0], other[0]
-            return ids, sizes
+            return woven(odd, *(self.encode_all(texts.filter(pa.array(m))) for m in (odd, ~odd)))
         split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
         ids, sizes = self.parts.gather(split.flatten(), self._simple, None)
         return ids, per_text(sizes, np.r_[0, np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])

@@ -23,10 +23,10 @@ BATCH = 2 << 20
 
 
 class Parts:
-    """Remembers the ids of parts; `most` bounds their number and, eightfold, that of their ids. Beyond that, those stay
+    """Remembers the ids of parts, which `encode` gives as all ids in order and the number of each; `most` bounds their number and, eightfold, that of their ids. Beyond that, those stay
     that several batches had; how many is halved each time, so that none stays for good."""
 
-    def __init__(self, kind: str, encode: Callable[[list[str]], list], most: int):
+    def __init__(self, kind: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
         self.kind, self.encode_all, self.most = np.dtype(kind), encode, most
         self._clear()
 
@@ -61,17 +61,15 @@ class Parts:
         out = [number.get(p, -1) for p in parts]
         missing = [i for i, n in enumerate(out) if n < 0]
         if missing:
-            ids = self.encode_all([parts[i] for i in missing])
-            first = len(number)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
+            ids, sizes = self.encode_all([parts[i] for i in missing])
+            first, total = len(number), len(ids)
             self.flat = self._room(self.flat, self.used + total)
-            self.start, self.size, self.uses = (self._room(x, first + len(ids)) for x in (self.start, self.size, self.uses))
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
-            self.start[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.size[first : first + len(ids)] = sizes
+            self.start, self.size, self.uses = (self._room(x, first + len(sizes)) for x in (self.start, self.size, self.uses))
+            self.flat[self.used : self.used + total] = ids
+            self.start[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+            self.size[first : first + len(sizes)] = sizes
             self.used += total
-            self.uses[first : first + len(ids)] = 0
+            self.uses[first : first + len(sizes)] = 0
             for place, i in enumerate(missing, first):
                 number[parts[i]] = out[i] = place
         found = np.array(out, np.int64)
@@ -112,6 +110,22 @@ class Parts:
         return self.flat[place], sizes
 
 
+def joined(rows: list[list[int]], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as (all ids in order, the number of each)."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), kind, int(sizes.sum())), sizes
+
+
+def woven(which: np.ndarray, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and numbers of rows that came in two lots: `one` for the rows that `which` marks, `other` for the rest."""
+    sizes = np.empty(len(which), np.int64)
+    sizes[which], sizes[~which] = one[1], other[1]
+    ids = np.empty(int(sizes.sum()), one[0].dtype)
+    mask = np.repeat(which, sizes)
+    ids[mask], ids[~mask] = one[0], other[0]
+    return ids, sizes
+
+
 def per_text(sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of `sizes` over the stretches that `offsets` bound."""
     sums = np.zeros(len(sizes) + 1, np.int64)

@@ -69,7 +69,7 @@ def test_bpe_in_stretches_and_other_patterns(most):
 
 
 def test_parts_forget_and_learn_again():
-    store = parts.Parts("<i4", lambda texts: [[len(t), ord(t[0])] if t else [] for t in texts], 4)
+    store = parts.Parts("<i4", lambda texts: parts.joined([[len(t), ord(t[0])] if t else [] for t in texts], "<i4"), 4)
     for word in "a b c d e f a b a b g h i a".split():
         got, sizes = store.gather(pa.array([word, word + "x"]), lambda w: pa.array(np.zeros(len(w), bool)), None)
         assert got.tolist() == [1, ord(word), 2, ord(word)] and sizes.tolist() == [2, 2]
