@@ -205,7 +205,7 @@ class Encoder:
     by the pattern itself.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
         # The library's \s is Unicode's White_Space property.
         self.split = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self.regular = pattern == BLANKS_BEGIN
@@ -313,7 +313,7 @@ class Decoder:
 _CODERS: dict[tuple[str, str, int], tuple[Encoder, dict[int, bytes]]] = {}
 
 
-def coders(data: bytes, pattern: str, most: int = 250_000) -> tuple[Encoder, dict[int, bytes]]:
+def coders(data: bytes, pattern: str, most: int = 400_000) -> tuple[Encoder, dict[int, bytes]]:
     """One encoder a worker process, whatever the number of tasks."""
     key = (hashlib.sha256(data).hexdigest(), pattern, most)
     if key not in _CODERS:
@@ -322,7 +322,7 @@ def coders(data: bytes, pattern: str, most: int = 250_000) -> tuple[Encoder, dic
     return _CODERS[key]
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, remembered: int = 250_000) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, remembered: int = 400_000) -> DataFrame:
     """One row per row of `docs`: id, n_tokens, ids_sha256, decoded_sha256 and, with `with_ids`, ids (array of int).
 
     The rank file is read on the driver; its size bounds what is broadcast. `remembered` bounds the memory of a worker
