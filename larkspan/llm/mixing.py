@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,13 +70,28 @@ def solve_rates(masses: DataFrame, targets: DataFrame, most: float, rounds: int
     return state.select("source", "target", "dual").unionAll(met.filter(full).select("source", "target", F.lit(None).cast("double")))
 
 
+def exchange(sizes: list[int], numbers: list[int], copies: list[int], rest: int, most: int) -> tuple[int | None, int | None]:
+    """The places of a group to get a copy more and of one to get a copy less, None for none, that leave the least of `rest`
+    thousandths of a word; of equally good ones the smaller sizes."""
+    more = {0: None} | {s: i for i, (s, n, c) in enumerate(zip(sizes, numbers, copies, strict=True)) if s and c < most * n}
+    less = {0: None} | {s: i for i, (s, c) in enumerate(zip(sizes, copies, strict=True)) if s and c}
+    down = sorted(less)
+    best = min(
+        (abs(rest - 1000 * (up - down[at])), up, down[at])
+        for up in sorted(more)
+        for k in [bisect_left(down, up - rest / 1000)]
+        for at in range(max(0, k - 1), min(len(down), k + 2))
+    )
+    return more[best[1]], less[best[2]]
+
+
 def whole_copies(groups: DataFrame, most: int) -> DataFrame:
     """(source, size, prior, rows, first, copies): how many copies all documents of a source, size and prior get together.
 
     A source's groups are gone through from the largest size down; each gets the whole number nearest to its documents
     times their rate, more or less what rounding the groups before has left of words. So what rounding a large document
-    adds or takes is made up by the smaller ones, and the error in the end is that of the smallest. Words are counted in
-    thousandths, as whole numbers. `groups` has a row for each source, size and prior, and a task holds those of one
+    adds or takes is made up by the smaller ones, and the error in the end is that of the smallest; one copy more of a size
+    and one less of another then take off most of that. Words are counted in thousandths, as whole numbers. `groups` has a row for each source, size and prior, and a task holds those of one
     source: its distinct sizes, whatever the number of documents.
     """
 
@@ -85,6 +102,10 @@ def whole_copies(groups: DataFrame, most: int) -> DataFrame:
             copies = max(0, min(most * number, (2 * (ideal + rest) + 1000 * size) // (2000 * size))) if size else 0
             rest += ideal - 1000 * copies * size
             out.append(copies)
+        more, less = exchange(rows["size"].tolist(), rows["rows"].tolist(), out, rest, most)
+        for at, change in ((more, 1), (less, -1)):
+            if at is not None:
+                out[at] += change
         return rows[["source", "size", "prior", "rows", "first"]].assign(copies=out)
 
     return groups.groupBy("source").applyInPandas(run, "source string, size long, prior double, rows long, first long, copies long")
@@ -206,9 +227,21 @@ WITH RECURSIVE d AS (
     SELECT g.source, g.k, g.size, g.n, r.rest, g.ideal, g.rate,
       CASE WHEN g.size = 0 THEN 0 ELSE greatest(0, least(2 * g.n, CAST(floor((2 * (g.ideal + r.rest) + 1000 * g.size) / (2000 * g.size)) AS HUGEINT))) END AS m
     FROM r JOIN (SELECT *, CAST(round(rate * n * size * 1000) AS HUGEINT) AS ideal FROM i) g ON g.source IS NOT DISTINCT FROM r.source AND g.k = r.k + 1)
+), f AS (
+  SELECT source, arg_max(rest, k) AS rest FROM r GROUP BY source
+), a AS (
+  SELECT source, size FROM r WHERE k > 0 AND size > 0 AND m < 2 * n UNION ALL SELECT source, 0 FROM t
+), z AS (
+  SELECT source, size FROM r WHERE k > 0 AND size > 0 AND m > 0 UNION ALL SELECT source, 0 FROM t
+), x AS (
+  SELECT f.source, a.size AS up, z.size AS down FROM f JOIN a ON a.source IS NOT DISTINCT FROM f.source JOIN z ON z.source IS NOT DISTINCT FROM f.source
+  QUALIFY row_number() OVER (PARTITION BY f.source ORDER BY abs(f.rest - 1000 * (a.size - z.size)), a.size, z.size) = 1
+), v AS (
+  SELECT r.source, r.k, r.size, r.n, r.rate, r.m + CASE WHEN r.size > 0 AND r.size = x.up THEN 1 ELSE 0 END - CASE WHEN r.size > 0 AND r.size = x.down THEN 1 ELSE 0 END AS m
+  FROM r JOIN x ON r.source IS NOT DISTINCT FROM x.source WHERE r.k > 0
 )
 SELECT doc_id, p.size, source_size, target, round(rate, 6) AS rate, CAST(p.place * m // n - (p.place - 1) * m // n AS INTEGER) AS copies,
   CAST((p.place * m // n - (p.place - 1) * m // n) * p.size AS BIGINT) AS taken
-FROM p JOIN r ON r.k > 0 AND p.source IS NOT DISTINCT FROM r.source AND p.size = r.size
+FROM p JOIN v ON p.source IS NOT DISTINCT FROM v.source AND p.size = v.size
 JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
