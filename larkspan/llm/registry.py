@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import bpe, chat, exact_dedup, mixing, quality, simhash, suffix_dedup, token_files, topk, url_filter, whitening
+from larkspan.llm import bpe, chat, exact_dedup, mixing, quality, runs, simhash, suffix_dedup, token_files, topk, url_filter, whitening
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_periodic_runs": runs.op12_periodic_runs,
 }
 
 ORACLE_SQL = {
