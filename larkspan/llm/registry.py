@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import bpe, chat, exact_dedup, mixing, quality, runs, simhash, suffix_dedup, token_files, topk, url_filter, whitening
+from larkspan.llm import bpe, chat, exact_dedup, mixing, quality, runs, simhash, suffix_dedup, token_files, topk, url_filter, warc, whitening
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_whitening": whitening.op11_whitening,
     "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op2_chat_format": chat.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_warc": warc.ORACLE_SQL,
 }
