@@ -1,7 +1,8 @@
 """Limiters and breakers over event tables: what each event would have met, in order of time.
 
-They refer to their own decisions, which window functions can't, so each key's events run through a small state machine.
-Rows stream in order of key and time, in Arrow batches: a key's state is a few numbers, whatever the number of its events.
+Where a decision refers to earlier ones, which window functions can't, events run through a small state machine: not all of
+a key, but those of a stretch, after which the machine is as new. Rows stream in order of time, in Arrow batches, and the
+state is a few numbers, whatever the number of events.
 """
 
 from __future__ import annotations
@@ -15,28 +16,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspan.operators.admission import Rule, admit
+from larkspan.operators.stretches import slice_width, stretched
 
-def replay(events: DataFrame, key: str, at: str, ident: str, machine: Callable[[], Callable[[float, object], tuple]], value: str | None, schema: str, names: list[str]) -> DataFrame:
-    """(ident, *names) from a machine for each key, fed with (time in ms, value) in order of time, then ident."""
-    columns = events.select(F.col(key).cast("string").alias("k"), F.col(at).cast("double").alias("t"), F.col(ident).cast("long").alias("i"), (F.col(value) if value else F.lit(None)).cast("string").alias("v"))
-    ordered = columns.repartition("k").sortWithinPartitions("k", "t", "i")
+
+def replay(events: DataFrame, key: str, at: str, ident: str, machine: Callable[[], Callable[[float, object], tuple]], value: str | None, schema: str, names: list[str], rests_ms: int | None = None) -> DataFrame:
+    """(ident, *names) from a machine fed with (time in whole ms, value) in order of time, then ident: one for each key or, if
+    a machine is as new after `rests_ms` without an event, for each stretch of a key between such rests."""
+    columns = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(at).cast("long").alias("t"), F.col(ident).cast("long").alias("i"), (F.col(value) if value else F.lit(None)).cast("string").alias("v"))
+    if rests_ms is None:
+        columns = columns.withColumn("s", F.lit(0).cast("long"))
+    else:
+        columns = stretched(columns, ["k"], "t", ["i"], F.col("t") + F.lit(rests_ms), "s", slice_width(columns, "t"))
+    ordered = columns.select("k", "s", "t", "i", "v").repartition("k", "s").sortWithinPartitions("k", "s", "t", "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, step = object(), None
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for k, t, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if k != now:
-                    now, step = k, machine()
+            for k, s, t, v in zip(*(batch.column(n).to_pylist() for n in (0, 1, 2, 4)), strict=True):
+                if (k, s) != now:
+                    now, step = (k, s), machine()
                 for column, x in zip(out, step(t, v), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(2), *map(pa.array, out)], [ident, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(3), *map(pa.array, out)], [ident, *names])
 
     return ordered.mapInArrow(run, f"{ident} long, {schema}")
 
 
 def token_bucket(events: DataFrame, key: str, at: str, ident: str, capacity: float, per_minute: float) -> DataFrame:
-    """(ident, allowed, retry_ms): a bucket of `capacity` tokens that refills at a rate; each event takes one."""
+    """(ident, allowed, retry_ms): a bucket of `capacity` tokens that refills at a rate; each event takes one. It is full
+    again after as long a rest as it takes to fill from empty."""
     rate = per_minute / 60
 
     def machine():
@@ -53,26 +63,13 @@ def token_bucket(events: DataFrame, key: str, at: str, ident: str, capacity: flo
 
         return step
 
-    return replay(events, key, at, ident, machine, None, "allowed boolean, retry_ms long", ["allowed", "retry_ms"])
+    return replay(events, key, at, ident, machine, None, "allowed boolean, retry_ms long", ["allowed", "retry_ms"], ceil(capacity / rate * 1000) + 1)
 
 
 def sliding_limit(events: DataFrame, key: str, at: str, ident: str, limit: int, window_ms: int) -> DataFrame:
     """(ident, allowed): at most `limit` accepted events within a window; what is refused does not count."""
-
-    def machine():
-        accepted: deque = deque()
-
-        def step(t, _):
-            while accepted and accepted[0] <= t - window_ms:
-                accepted.popleft()
-            if len(accepted) >= limit:
-                return (False,)
-            accepted.append(t)
-            return (True,)
-
-        return step
-
-    return replay(events, key, at, ident, machine, None, "allowed boolean", ["allowed"])
+    decided = admit(events, [Rule((key,), limit, window_ms)], at, None, ident)
+    return decided.select(ident, (F.col("decision") == "accepted").alias("allowed"))
 
 
 def circuit_breaker(events: DataFrame, key: str, at: str, ident: str, ok: str, window: int = 5, threshold: float = 0.4, backoff_ms: int = 120_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspan.catalog import query, table
-from larkspan.operators import limits
+from larkspan.operators import admission, limits
 from larkspan.plans.bases import base, sub
 
 _MS = "epoch_ms(ts)"
@@ -68,6 +68,15 @@ def str3_concurrency(spark, d):
     return limits.concurrency(rows, "user_id", "s", "e")
 
 
+@query("str3_admission")
+def str3_admission(spark, d):
+    """Limits on what runs at once and on what is admitted in an hour, over all, by tenant, workspace and principal. Refers to
+    its own decisions; tests hold it against a replay of all invocations."""
+    calls = _timed(spark, d).withColumn("end", F.col("ms") + F.floor(F.col("value") * 60000).cast("long")).withColumnRenamed("user_id", "principal_id")
+    rules = admission.four_limits({"global": 400, "tenant": 60, "workspace": 8, "principal": 2}, {"global": 1000, "tenant": 100, "workspace": 12, "principal": 2}, 3_600_000)
+    return admission.admit(calls, rules, "ms", "end")
+
+
 @query("flt16_available_providers", f"""
 WITH l AS (SELECT provider, avg(CASE WHEN status = 'ok' THEN 1.0 ELSE 0 END) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) AS n FROM {sub('attempts')}) WHERE n <= 5 GROUP BY 1)
 SELECT DISTINCT provider FROM events, (SELECT event_type AS provider FROM events) WHERE provider NOT IN (SELECT provider FROM l WHERE rate <= 0.4)""".replace("FROM events, (SELECT event_type AS provider FROM events)", "FROM (SELECT event_type AS provider FROM events)"))

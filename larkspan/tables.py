@@ -24,4 +24,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: it is computed once."""
     path = f"{shared_root(df.sparkSession)}/larkspan/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._written)
