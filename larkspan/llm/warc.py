@@ -73,11 +73,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     store.create_dir(place, recursive=True)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "sha2": F.sha2("payload", 256), "row": F.monotonically_increasing_id()})
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha2": F.unhex(F.sha2("payload", 256)), "row": F.monotonically_increasing_id()})
     # Rows get their numbers once: what is computed again after a loss must not number them otherwise.
     staged = materialize(rows, "pages")
     groups = staged.filter(F.col("size") >= least).groupBy("sha2", "size").agg(F.max(F.struct("page", "row")).alias("kept"), F.count("*").alias("copies")).filter("copies > 1")
-    joined = staged.join(groups, ["sha2", "size"], "left").select("page", "row", "url", F.expr("IF(kept.row <> row, X'', payload)").alias("payload"), "sha1", "size", F.expr("IF(kept.row <> row, kept, NULL)").alias("refers"))
+    joined = staged.join(groups, ["sha2", "size"], "left").select("page", "row", "url", F.expr("IF(kept.row <> row, X'', payload)").alias("payload"), F.sha1("payload").alias("sha1"), "size", F.expr("IF(kept.row <> row, kept, NULL)").alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_store, base = pafs.FileSystem.from_uri(folder)
