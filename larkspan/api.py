@@ -18,6 +18,7 @@ from larkspan.functions import text, urls
 from larkspan.functions.entities import entities
 from larkspan.functions.html import article_of
 from larkspan.operators import answers, cache, changes, graph, index, limits, notes, search
+from larkspan.operators.inverted import InvertedIndex
 from larkspan.operators.ranking import first_per, top_k_per
 from larkspan.operators.rerank import hash_embedding
 from larkspan.schemas import SCOPE
@@ -52,6 +53,8 @@ class Engine:
 
     tables: dict[str, DataFrame]
     providers: list[str] = field(default_factory=lambda: ["duckduckgo"])
+    #: A stored index of the chunks, see `lexical_texts`; ingesting extends it, and searches read it instead of the chunks.
+    lexical: InvertedIndex | None = None
 
     def _table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -123,11 +126,23 @@ class Engine:
         return self.ingest_document(once.select(F.sha1(F.concat_ws("|", *SCOPE, "url")).alias("id"), F.col("url").alias("source"), "title", F.lit("research").alias("category"), "content", at.alias("ts"), *SCOPE))
 
     def ingest_document(self, documents: DataFrame) -> dict[str, DataFrame]:
-        """The new docs, chunks, entities and links after (id, source, title, category, content, ts, scope) are ingested."""
+        """The new docs, chunks, entities and links after (id, source, title, category, content, ts, scope) are ingested; with a
+        table vectors also those of the chunks. A stored index of the chunks is extended at once."""
         docs, chunks = index.ingest(documents)
         said = docs.select(*SCOPE, F.col("id").alias("doc_id"), F.explode(entities(F.col("content"))).alias("e")).select(*SCOPE, "doc_id", "e.name", "e.n")
         own, links = graph.index_documents(self._table("entities"), self._table("links"), said)
-        return {"docs": self._table("docs").unionByName(docs.select(self._table("docs").columns)), "chunks": self._table("chunks").unionByName(chunks), "entities": own, "links": links}
+        if self.lexical is not None:
+            self.lexical.extend(self.lexical_texts(chunks, docs), ("source",))
+        new = {"docs": self._table("docs").unionByName(docs.select(self._table("docs").columns)), "chunks": self._table("chunks").unionByName(chunks), "entities": own, "links": links}
+        if "vectors" in self.tables:
+            new["vectors"] = self._table("vectors").select("chunk_id", "embedding").unionByName(index.embed_chunks(chunks).select("chunk_id", "embedding"))
+        return new
+
+    @staticmethod
+    def lexical_texts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+        """(hit_id, text, grp, source) of chunks, as `InvertedIndex.extend` takes them."""
+        own = chunks.select(F.col("chunk_id").alias("hit_id"), "text", F.to_json(F.array(*SCOPE)).alias("grp"), F.col("doc_id").alias("id"), *SCOPE)
+        return own.join(docs.select(*SCOPE, "id", "source"), [*SCOPE, "id"], "left").select("hit_id", "text", "grp", "source")
 
     def index_url(self, requests: DataFrame, at: Column) -> dict[str, DataFrame]:
         """As `ingest_document`, of the main articles of cached pages (scope, url) that are not in the index."""
@@ -139,21 +154,19 @@ class Engine:
     def search_index(self, requests: DataFrame, max_results: int = 5, source: str | None = None, embed: Callable[[Column], Column] = hash_embedding) -> DataFrame:
         """(query_id, scope, hit_id, score, matched_by, rank) of (query_id, query, scope): chunks of the request's scope, of
         one source if given. Keyword hits and, where the engine has a table vectors (chunk_id, embedding) made by `embed`,
-        nearest vectors are fused; without it keyword hits stand. The statistics are those of all chunks."""
+        nearest vectors are fused; without it keyword hits stand. The statistics are those of all chunks. With a stored index
+        no text is read."""
         k = check("max_results", max_results, 1, 20)
         scope = F.to_json(F.array(*SCOPE))
         asked = requests.select("query_id", text.rewrite_query(F.col("query")).alias("text"), scope.alias("grp"))
-        chunks = self._table("chunks").select(F.col("chunk_id").alias("hit_id"), "text", scope.alias("grp"), F.col("doc_id").alias("id"), *SCOPE)
-        where = None
-        if source is not None:
-            chunks = chunks.join(self._table("docs").select(*SCOPE, "id", "source"), [*SCOPE, "id"], "left")
-            where = F.col("source") == source
-        chunks = chunks.drop("id", *SCOPE)
+        where = None if source is None else F.col("source") == source
+        chunks = self.lexical.docs().select("hit_id", "grp", "source") if self.lexical is not None else self.lexical_texts(self._table("chunks"), self._table("docs"))
+        texts = chunks if self.lexical is None else self.lexical
         if "vectors" in self.tables:
             vectors = self._table("vectors").withColumnRenamed("chunk_id", "hit_id").join(chunks.drop("text"), "hit_id")
-            found = index.hybrid(asked.withColumn("embedding", embed(F.col("text"))), chunks, vectors, k, 3, where, True)
+            found = index.hybrid(asked.withColumn("embedding", embed(F.col("text"))), texts, vectors, k, 3, where, True)
         else:
-            found = index.keyword_hits(asked, chunks, k, where, True).withColumn("matched_by", F.lit("keyword"))
+            found = index.keyword_hits(asked, texts, k, where, True).withColumn("matched_by", F.lit("keyword"))
         return found.join(requests.select("query_id", *SCOPE), "query_id").select("query_id", *SCOPE, "hit_id", "score", "matched_by", "rank")
 
     def list_index(self, limit: int = 50) -> DataFrame:

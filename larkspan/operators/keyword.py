@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.text import fts_terms, index_tokens
 from larkspan.operators.best import Best
+from larkspan.operators.inverted import B, K1, InvertedIndex
 from larkspan.operators.ranking import top_k_per
 from larkspan.tables import materialize
 
-K1, B = 1.2, 0.75
-
 
 def postings(texts: DataFrame) -> DataFrame:
     """(hit_id, term, tf, doc_len) of (hit_id, text)."""
@@ -84,7 +83,7 @@ class Asked:
         return keys // max(1, len(self.phrases)), keys % max(1, len(self.phrases)), counts
 
 
-def keyword_top(queries: DataFrame, texts: DataFrame, k: int, where: Column | None = None, same_group: bool = False, block: int = 4096) -> DataFrame:
+def keyword_top(queries: DataFrame, texts: DataFrame | InvertedIndex, k: int, where: Column | None = None, same_group: bool = False, block: int = 4096) -> DataFrame:
     """(query_id, hit_id, score, rank): the k texts with the highest BM25 of each query, rounded to six places, then by id.
 
     queries: (query_id, text[, grp]), texts: (hit_id, text[, grp] and what `where` needs). `where`, and with same_group the
@@ -94,6 +93,8 @@ def keyword_top(queries: DataFrame, texts: DataFrame, k: int, where: Column | No
     Queries go to the executors in blocks of bounded size. Each block reads the texts once and keeps, beside each, how often
     it has the phrases asked for; no row for a query and a text is made but the k best of a task.
     """
+    if isinstance(texts, InvertedIndex):
+        return texts.search(queries, k, where, same_group, block)
     phrases = query_phrases(queries)
     asked = materialize(phrases if not same_group else phrases.join(queries.select("query_id", F.col("grp").cast("string").alias("grp")), "query_id"), "asked")
     blocks = max(1, -(-asked.count() // block))
@@ -163,9 +164,3 @@ def _block(pool: DataFrame, own: DataFrame, k: int, same_group: bool) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([asked.ids[q] for q in query]), pa.array(ids), pa.array(score, pa.float64())], ["query_id", "hit_id", "score"])
 
     return counted.mapInArrow(rank, f"query_id {query_type}, hit_id {hit_type}, score double")
-
-
-def bm25(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, hit_id, score) of every text that has any of a query's phrases: for small tables, as it has a row for each
-    query and hit."""
-    return keyword_top(queries, texts, 1 << 30).drop("rank")

@@ -10,6 +10,7 @@ from larkspan.functions.chunks import chunks
 from larkspan.operators import answers, execution, fusion, index, ranking, search
 from larkspan.operators.rerank import hash_embedding
 from larkspan.plans.bases import base, scope_of, sub
+from larkspan.plans.indexes import documents_index
 from larkspan.plans.ranking import KEY
 from larkspan.plans.retrieval import BM25_SQL, _FUSED, _RANKED, _VECTORS
 
@@ -90,15 +91,15 @@ ownnear AS (SELECT n.* FROM near n JOIN documents d ON d.doc_id = n.hit_id WHERE
 @query("ret14_search_index", BM25_SQL + _VECTORS + _OWN + _RANKED.format(name="w", of="own") + _RANKED.format(name="n", of="ownnear") + _FUSED + _RANKED.format(name="r", of="fused") + " SELECT query_id, hit_id, score, matched_by, rank FROM r WHERE rank <= 5")
 def ret14_search_index(spark, d):
     """The question's start goes; keyword and vector hits of one source are fused."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), F.coalesce("text", F.lit("")).alias("text"), "source")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), "source")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("hit_id"), "embedding")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.rewrite_query(F.concat(F.lit("How to "), "text")).alias("text"))
     asked = asked.join(vectors.withColumnRenamed("hit_id", "query_id"), "query_id", "left")
-    return index.hybrid(asked, docs, vectors.join(docs.drop("text"), "hit_id"), 5, where=F.col("source") == "src1")
+    return index.hybrid(asked, documents_index(spark, d), vectors.join(docs, "hit_id"), 5, where=F.col("source") == "src1")
 
 
 def _question_sources(spark, d):
-    hits = index.keyword_hits(*_inputs(spark, d), 3)
+    hits = index.keyword_hits(_inputs(spark, d)[0], documents_index(spark, d), 3)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), F.col("text").alias("content"), F.col("source").alias("title"))
     rows = hits.join(docs, "hit_id").select("query_id", F.col("rank").alias("source"), F.concat(F.lit("doc:"), F.col("hit_id").cast("string")).alias("url"), "title", "content")
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), rows
@@ -145,7 +146,7 @@ def _research(spark, d):
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").selectExpr("query_id", "text", *_SCOPED)
     asked = _requests(spark, d).join(questions, "query_id", "left_semi")
     found = search.web_search(asked, base(spark, d, "results"), _PROVIDERS, 3, strategy="auto")
-    hits = index.keyword_hits(*_inputs(spark, d), 3)
+    hits = index.keyword_hits(_inputs(spark, d)[0], documents_index(spark, d), 3)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), F.col("text").alias("content"), F.col("source").alias("title"))
     local = hits.join(docs, "hit_id").select("query_id", "rank", F.concat(F.lit("doc:"), F.col("hit_id").cast("string")).alias("url"), "title", F.coalesce("content", F.lit("")).alias("content"))
     pages = base(spark, d, "cache")
@@ -180,7 +181,7 @@ def ret17_known_item_evaluation(spark, d):
     from larkspan.operators import evaluation
 
     asked, docs = _inputs(spark, d)
-    hits = index.keyword_hits(asked, docs, 10).select("query_id", F.col("hit_id").alias("id"), "rank")
+    hits = index.keyword_hits(asked, documents_index(spark, d), 10).select("query_id", F.col("hit_id").alias("id"), "rank")
     # A stated set of passages against all documents: the passages are few and sent along after their size is checked.
     passages = asked.withColumnRenamed("text", "passage")
     if passages.agg(F.sum(F.length("passage"))).first()[0] > 64 << 20:

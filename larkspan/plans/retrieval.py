@@ -8,6 +8,7 @@ from larkspan.catalog import query, table
 from larkspan.functions.text import index_tokens
 from larkspan.operators import cache, index, keyword, ranking
 from larkspan.plans.bases import base, sub
+from larkspan.plans.indexes import documents_index
 
 _SPLIT = "list_filter(string_split_regex(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -50,18 +51,19 @@ def agg19_corpus_statistics(spark, d):
 
 @query("join1_postings", f"SELECT doc_id AS hit_id, term, count(*) AS tf, doc_len FROM (SELECT doc_id, len(t) AS doc_len, unnest(t) AS term FROM (SELECT doc_id, {_SPLIT.format(c='text')} AS t FROM documents)) GROUP BY ALL")
 def join1_postings(spark, d):
-    return keyword.postings(_texts(spark, d)).withColumn("doc_len", F.col("doc_len").cast("long"))
+    """From the stored index."""
+    return documents_index(spark, d).postings().select("hit_id", "term", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("long").alias("doc_len"))
 
 
 @query("ret1_keyword_search", BM25_SQL + _RANKED.format(name="r", of="scored") + " SELECT query_id, hit_id, score, rank FROM r WHERE rank <= 15")
 def ret1_keyword_search(spark, d):
-    return index.keyword_hits(_queries(spark, d), _texts(spark, d), 15).select("query_id", "hit_id", "score", "rank")
+    return index.keyword_hits(_queries(spark, d), documents_index(spark, d), 15).select("query_id", "hit_id", "score", "rank")
 
 
 @query("flt2_source_filter", BM25_SQL + ", own AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.hit_id WHERE d.source = 'src1')" + _RANKED.format(name="r", of="own") + " SELECT query_id, hit_id, score, rank FROM r WHERE rank <= 5")
 def flt2_source_filter(spark, d):
     """The filter comes before the ranking; the statistics stay those of the whole index."""
-    return index.keyword_hits(_queries(spark, d), _texts(spark, d), 5, F.col("source") == "src1").select("query_id", "hit_id", "score", "rank")
+    return index.keyword_hits(_queries(spark, d), documents_index(spark, d), 5, F.col("source") == "src1").select("query_id", "hit_id", "score", "rank")
 
 
 _VECTORS = """, near AS (SELECT q.vec_id AS query_id, v.vec_id AS hit_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
@@ -77,7 +79,7 @@ fused AS (SELECT query_id, hit_id, round(sum(1.0 / (60 + rank)), 9) AS score, CA
 def ret3_hybrid_search(spark, d):
     v = table(spark, d, "embeddings")
     asked = _queries(spark, d).join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    return index.hybrid(asked, _texts(spark, d), v.select(F.col("vec_id").alias("hit_id"), "embedding"), 5)
+    return index.hybrid(asked, documents_index(spark, d), v.select(F.col("vec_id").alias("hit_id"), "embedding"), 5)
 
 
 _NOW = 1700000000000 + 400 * 60000

@@ -128,3 +128,19 @@ def test_search_cache(spark):
     assert [r.url for r in sorted(again, key=lambda r: r.rank) if r.query_id == 1] == ["https://a.org/x", "https://none.org/"]
     assert {r["cache"] for r in engine.web_search(asked, now=F.lit(10_000_000)).collect()} == {"miss"}
     assert {r["cache"] for r in engine.web_search(asked, now=F.lit(2000), from_date="2024-01-01").collect()} == {"miss"}
+
+
+def test_ingest_extends_the_stored_index_and_the_vectors(spark, engine, tmp_path):
+    from larkspan.operators.inverted import build_index
+
+    tables = engine.tables | {"vectors": spark.createDataFrame([], "chunk_id string, embedding array<double>")}
+    stored = build_index(Engine.lexical_texts(tables["chunks"], tables["docs"]), f"file://{tmp_path}/i", ("source",))
+    own = Engine(tables, lexical=stored)
+    pages = spark.createDataFrame([("n", "web:n", "T", "c", "pooling with redis " * 30, 9, *HERE)], f"id string, source string, title string, category string, content string, ts long, {S}")
+    after = own.ingest_document(pages)
+    asked = spark.createDataFrame([(1, "redis pooling", *HERE)], f"query_id long, query string, {S}")
+    now, plain = Engine(tables | after, lexical=stored), Engine({k: v for k, v in (tables | after).items()})
+    rows = lambda e, **more: [(r.hit_id, r.score, r.matched_by) for r in e.search_index(asked, **more).orderBy("rank").collect()]
+    assert rows(now) == rows(plain) and rows(now)[0][0].startswith("n:") and rows(now)[0][2] == "hybrid"
+    assert [h for h, *_ in rows(now, source="web:n")] == [h for h, *_ in rows(plain, source="web:n")]
+    assert {r.chunk_id for r in after["vectors"].collect()} == {r.chunk_id for r in after["chunks"].collect() if r.doc_id == "n"}
