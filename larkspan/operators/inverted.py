@@ -38,25 +38,33 @@ SENT = 32 << 20
 #: Scores are rounded to six places before they are compared, so bounds must be this much below a cutoff to count as below.
 _SLACK = 2e-6
 _LISTS = ("docs", "times", "places", "most", "least")
-_POSTINGS = "shard long, bucket int, term string, " + ", ".join(f"{c} binary" for c in _LISTS)
+_POSTINGS = "shard long, bucket int, term string, widths int, " + ", ".join(f"{c} binary" for c in _LISTS)
 
 
 def bucket_of(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
-def packed(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
-    """Lists of whole numbers as binaries of 32-bit integers, which cross to and from Python at a fraction of lists' cost."""
-    offsets, data = (np.ascontiguousarray(x, "<i4") for x in (4 * bounds, values))
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+def packed(bounds: np.ndarray, values: np.ndarray) -> tuple[pa.Array, int]:
+    """(lists of whole numbers as binaries, bytes of a number): of the narrowest unsigned type that holds them all. Binaries
+    cross to and from Python at a fraction of lists' cost."""
+    width = next(w for w in (1, 2, 4) if not len(values) or values.max() < 1 << 8 * w)
+    offsets, data = np.ascontiguousarray(width * bounds, "<i4"), np.ascontiguousarray(values, f"<u{width}")
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]), width
 
 
-def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(all values, bounds of each row's): of null rows there are none."""
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, "<i4")[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, "<i4")
-    values = np.frombuffer(data, "<i4", int(bounds[-1] - bounds[0]) // 4, int(bounds[0])) if data is not None and bounds[-1] > bounds[0] else np.empty(0, "<i4")
-    return values.astype(np.int64), (bounds - bounds[0]) // 4
+    size = int(bounds[-1] - bounds[0])
+    values = np.frombuffer(data, "u1", size, int(bounds[0])).view(f"<u{width}") if size else np.empty(0)
+    return values.astype(np.int64), (bounds - bounds[0]) // width
+
+
+def widths_of(code: int) -> list[int]:
+    """The bytes of a number in each of `_LISTS`; a shard's are the same in all its rows."""
+    return [code >> 4 * n & 15 for n in range(len(_LISTS))]
 
 
 class ShardBuilder:
@@ -74,8 +82,8 @@ class ShardBuilder:
         self.others.append(others)
         self.size += len(tokens.flatten())
 
-    def made(self) -> tuple[pa.Array, np.ndarray, pa.Table, pa.Array, dict[str, pa.Array]]:
-        """(ids in order, lengths, other columns, terms, their lists)."""
+    def made(self) -> tuple[pa.Array, np.ndarray, pa.Table, pa.Array, int, list[pa.Array]]:
+        """(ids in order, lengths, other columns, terms, widths, their lists)."""
         ids = pa.concat_arrays(self.ids)
         order = pc.sort_indices(ids)
         lists = pa.concat_arrays(self.tokens).take(order)
@@ -96,8 +104,9 @@ class ShardBuilder:
         most = np.maximum.reduceat(times, blocks) if len(blocks) else times
         least = np.minimum.reduceat(lengths[docs], blocks) if len(blocks) else times
         at_tokens, at_blocks = np.r_[first, len(codes)][starts], np.searchsorted(blocks, starts)
-        columns = {"docs": packed(starts, docs), "times": packed(starts, times), "places": packed(at_tokens, place), "most": packed(at_blocks, most), "least": packed(at_blocks, least)}
-        return ids.take(order), lengths, pa.Table.from_batches(self.others).take(order), coded.dictionary, columns
+        lists = [packed(*x) for x in ((starts, docs), (starts, times), (at_tokens, place), (at_blocks, most), (at_blocks, least))]
+        code = sum(width << 4 * n for n, (_, width) in enumerate(lists))
+        return ids.take(order), lengths, pa.Table.from_batches(self.others).take(order), coded.dictionary, code, [column for column, _ in lists]
 
 
 def _segment_rows(texts: DataFrame, attrs: list[str]) -> DataFrame:
@@ -112,18 +121,18 @@ def _segment_rows(texts: DataFrame, attrs: list[str]) -> DataFrame:
         task, number, builder = TaskContext.get().partitionId(), 0, ShardBuilder()
 
         def shard() -> Iterator[pa.RecordBatch]:
-            ids, lengths, others, terms, lists = builder.made()
+            ids, lengths, others, terms, code, lists = builder.made()
             name = (task << 24) + number
             kinds = [others.schema.field(i).type for i in range(others.num_columns)]
             ints = pa.int32()
-            names = ["shard", "bucket", "term", *_LISTS, "doc", "size", *others.schema.names]
+            names = ["shard", "bucket", "term", "widths", *_LISTS, "doc", "size", *others.schema.names]
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, ints), pa.nulls(n, pa.string()), *[pa.nulls(n, pa.binary())] * 5, pa.array(np.arange(n), ints), pa.array(lengths, ints), *(c.combine_chunks() for c in others.columns)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, ints), pa.nulls(n, pa.string()), pa.nulls(n, ints), *[pa.nulls(n, pa.binary())] * 5, pa.array(np.arange(n), ints), pa.array(lengths, ints), *(c.combine_chunks() for c in others.columns)], names)
             for i in range(0, len(terms), 4096):
                 part = terms.slice(i, 4096)
                 m = len(part)
                 buckets = pa.array([bucket_of(t) for t in part.to_pylist()], ints)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, name)), buckets, part.cast(pa.string()), *(lists[c].slice(i, 4096) for c in _LISTS), pa.nulls(m, ints), pa.nulls(m, ints), *(pa.nulls(m, k) for k in kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, name)), buckets, part.cast(pa.string()), pa.array(np.full(m, code), ints), *(c.slice(i, 4096) for c in lists), pa.nulls(m, ints), pa.nulls(m, ints), *(pa.nulls(m, k) for k in kinds)], names)
 
         for batch in batches:
             others = batch.drop_columns(["tokens"])
@@ -221,6 +230,12 @@ def maxima(docs: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return np.maximum.reduceat(times, at), np.minimum.reduceat(sizes[docs], at)
 
 
+def stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the stretches of equal values."""
+    cut = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return [(i, j) for i, j in zip(cut, cut[1:], strict=False) if j > i]
+
+
 def _flat(array: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(array, kind).tobytes()
 
@@ -248,7 +263,7 @@ def _counted(rows: DataFrame, sent, hit_type: str) -> DataFrame:
             lists = Lists(sent.value, np.r_[live, False], np.r_[sizes, 0])
             terms = table.filter(pc.is_valid(table["term"]))
             for batch in terms.to_batches():
-                columns = [unpacked(batch.column(c)) for c in _LISTS]
+                columns = [unpacked(batch.column(c), w) for c, w in zip(_LISTS, widths_of(batch.column("widths")[0].as_py()), strict=True)]
                 columns[0][0][:] = np.minimum(columns[0][0], size)
                 lists.add(batch.column("term"), columns)
             found = list(lists.phrases())
@@ -339,7 +354,7 @@ class InvertedIndex:
         return sorted(int(n.split("=")[1]) for n in names if n.startswith("segment=") and fs.exists(self._path(f"docs/{n}/_SUCCESS")))
 
     def table(self, name: str) -> DataFrame:
-        schema = {"postings": "term string, shard long, " + ", ".join(f"{c} binary" for c in _LISTS) + ", segment int, bucket int", "lexicon": "term string, n_docs long, segment int"}.get(name)
+        schema = {"postings": "term string, shard long, widths int, " + ", ".join(f"{c} binary" for c in _LISTS) + ", segment int, bucket int", "lexicon": "term string, n_docs long, segment int"}.get(name)
         reader = self.spark.read.schema(schema) if schema else self.spark.read
         return reader.parquet(f"{self.folder}/{name}").filter(F.col("segment").isin(self.segments()))
 
@@ -358,12 +373,12 @@ class InvertedIndex:
             raise ValueError(f"the index has columns of its own named {sorted(taken)}")
         number = max(self.segments(), default=-1) + 1
         rows = materialize(_segment_rows(texts.filter("hit_id IS NOT NULL"), list(attrs)), "segment")
-        postings = rows.filter("term IS NOT NULL").select("bucket", "term", "shard", *_LISTS)
+        postings = rows.filter("term IS NOT NULL").select("bucket", "term", "shard", "widths", *_LISTS)
         # A term that every shard has is spread over tasks by shard.
         spread = postings.repartition("bucket", F.col("shard") % 16).sortWithinPartitions("bucket", "term", "shard")
         own = lambda name: f"{self.folder}/{name}/segment={number}"
         spread.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(own("postings"))
-        lexicon = postings.groupBy("term").agg(F.sum((F.octet_length("docs") / 4).cast("long")).alias("n_docs"))
+        lexicon = postings.groupBy("term").agg(F.sum(F.expr("octet_length(docs) div (widths & 15)")).alias("n_docs"))
         lexicon.write.mode("overwrite").parquet(own("lexicon"))
         rows.filter("term IS NULL").select("shard", "doc", "hit_id", "size", "grp", *attrs).write.mode("overwrite").parquet(own("docs"))
         dropped(rows)
@@ -382,12 +397,14 @@ class InvertedIndex:
         """(hit_id, term, tf, doc_len)."""
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                (docs, bounds), (times, _) = unpacked(batch.column(3)), unpacked(batch.column(4))
+            # Rows of equal widths lie together, a shard's or several's.
+            for batch in (b.slice(i, j - i) for b in batches for i, j in stretches(b.column(5).to_numpy())):
+                wide = widths_of(batch.column(5)[0].as_py())
+                (docs, bounds), (times, _) = unpacked(batch.column(3), wide[0]), unpacked(batch.column(4), wide[1])
                 row = pa.array(np.repeat(np.arange(len(batch)), np.diff(bounds)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(docs.astype(np.int32)), pa.array(times)], ["segment", "shard", "term", "doc", "tf"])
 
-        each = self.table("postings").select("segment", "shard", "term", "docs", "times").mapInArrow(each, "segment int, shard long, term string, doc int, tf long")
+        each = self.table("postings").select("segment", "shard", "term", "docs", "times", "widths").mapInArrow(each, "segment int, shard long, term string, doc int, tf long")
         return each.join(self.docs(), ["segment", "shard", "doc"]).select("hit_id", "term", "tf", F.col("size").alias("doc_len"))
 
     def _terms(self, sent) -> DataFrame:
@@ -441,8 +458,8 @@ class InvertedIndex:
         terms = materialize(self._terms(sent), "terms")
         # Sent to every task while they are few, which also leaves out buckets; else both sides are sorted by term.
         size = terms.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-        met = self.table("postings").join(F.broadcast(terms) if size <= SENT else terms, ["bucket", "term"]).select(shard, "term", "docs", "times", places, "most", "least", none("doc", "int"), none("hit_id", hit_type), none("size", "int"), none("grp", "string"), F.lit(False).alias("seen"))
-        heads = docs.select(shard, none("term", "string"), *(none(c, "binary") for c in _LISTS), "doc", "hit_id", "size", "grp", seen.alias("seen"))
+        met = self.table("postings").join(F.broadcast(terms) if size <= SENT else terms, ["bucket", "term"]).select(shard, "term", "widths", "docs", "times", places, "most", "least", none("doc", "int"), none("hit_id", hit_type), none("size", "int"), none("grp", "string"), F.lit(False).alias("seen"))
+        heads = docs.select(shard, none("term", "string"), none("widths", "int"), *(none(c, "binary") for c in _LISTS), "doc", "hit_id", "size", "grp", seen.alias("seen"))
         n_texts, average, shards = docs.select("size", shard).agg(F.count("*"), F.avg("size"), F.count_distinct("shard")).first()
         # As many tasks as shards, and more where these are few and would meet in one.
         rows = heads.unionByName(met).repartition(max(1, shards, min(4 * shards, 200)), "shard").sortWithinPartitions("shard")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larkspan.catalog import query
-from larkspan.streaming import stateful, windows
+from larkspan.streaming import caches, embedding_queue, running, stateful, windows
+from larkspan.streaming import traces as traced
+from larkspan.tables import shared_root
 
 
 @query("ext_tumbling_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -63,3 +67,31 @@ def str1_token_bucket_stream(spark, d):
 def str2_sliding_limit_stream(spark, d):
     stream = windows.read_stream(spark, d, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
     return windows.drain(stateful.sliding_limit(stream, "event_type", 20, 86_400_000), "append")
+
+
+def _run(spark, stream):
+    return running.run(stream, f"{shared_root(spark)}/larkspan/stream-{uuid.uuid4().hex}")[0]
+
+
+@query("str8_cache_stream")
+def str8_cache_stream(spark, d):
+    """Each kind of event has a cache of users, of 100 entries that live a day. Tests hold it against a plain version."""
+    return _run(spark, caches.lru_cache(windows.read_stream(spark, d, "events"), "event_type", "user_id", ttl_ms=86_400_000, late="40 days"))
+
+
+@query("str6_embedding_queue")
+def str6_embedding_queue(spark, d):
+    """(scope, doc_id, kind, n): what a queue for each source admits of all documents at once, and what it refuses."""
+    docs = windows.read_stream(spark, d, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("seq"), "doc_id", F.col("text").alias("content"))
+    return _run(spark, embedding_queue.queue(docs, served=0)).groupBy("scope", "doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("str10_trace_sessions", """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g),
+t AS (SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS stages, count(*) FILTER (WHERE event_type = 'error') AS failed, CAST(sum(floor(value * 1000)) AS BIGINT) AS total_ms, min(ts) FILTER (WHERE event_type = 'error') AS first_error FROM s GROUP BY user_id, nth)
+SELECT * FROM t WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY""")
+def str10_trace_sessions(spark, d):
+    """Traces that are over by the watermark, from a stream in append mode."""
+    stages = windows.read_stream(spark, d, "events").withColumn("duration_ms", F.floor(F.col("value") * 1000).cast("long"))
+    return _run(spark, traced.traces(stages, ["user_id"], "6 hours", "1 day", status="event_type")).drop("skipped")
