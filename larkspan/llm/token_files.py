@@ -34,7 +34,8 @@ _BLANK = re.compile("[ \n]")
 class Units:
     """Ids of whole texts. The tokenizer collapses white space and no token crosses it, so a text's ids are those of its
     blank-separated units in order. It lower-cases and cuts a word from the punctuation behind it, so both are looked up
-    apart; a lower-case word goes to its model alone, all else through all of its steps. `most` parts are remembered.
+    apart; a lower-case word goes to its model alone, all else, special tokens' strings too, through all of its steps.
+    `most` parts are remembered.
     """
 
     def __init__(self, data: str, kind: str, most: int = 700_000):
@@ -42,7 +43,6 @@ class Units:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(data)
-        self.tokenizer.encode_special_tokens = True
         self.words_only = Tokenizer(self.tokenizer.model)
         self.words_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary, suffix = self.tokenizer.get_vocab(), json.loads(data)["model"]["end_of_word_suffix"]
@@ -191,7 +191,8 @@ def read_token_files(spark: SparkSession, folder: str, parts: list[tuple[int, st
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
     """Defined results of both steps: null counts as empty and has the end id alone; null ids come first; rows of
-    equal ids come in the order of a hash of the text; strings of special tokens are ordinary text; an empty table has no rows."""
+    equal ids come in the order of a hash of the text; strings of special tokens are these tokens, as by the
+    library's defaults; an empty table has no rows."""
     import public_tokenizers
 
     folder, parts = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -54,8 +54,9 @@ def test_streaming_decoder():
 def test_token_files(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    rows = [*((i * 7 % 101, t) for i, t in enumerate(ODD)), (200, None), (None, "null id"), (300, "same"), (300, "same")]
+    special = ["end <|endoftext|> more", "a<|startoftext|>b<|endoftext|>.", "<|ENDOFTEXT|> <|endoftext |>", "x <|endoftext|>\n<|endoftext|>!é́<|endoftext|>\u0301"]
+    assert own.encode(special[0], add_special_tokens=False).ids[1] == 49407
+    rows = [*((i * 7 % 101, t) for i, t in enumerate(ODD)), *((400 + i, t) for i, t in enumerate(special)), (200, None), (None, "null id"), (300, "same"), (300, "same")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, start string").repartition(4)
     folder, parts = token_files.write_token_files(docs, path)
     got = [tuple(r) for r in token_files.read_token_files(spark, folder, parts).orderBy("start").collect()]
