@@ -3,7 +3,7 @@
 Layout under a folder, each table partitioned by `segment`, a number for each time texts were added:
 
 - `postings`, by `bucket`, a hash of the term: a row for each term of a shard, with the documents that have it, how often, and at
-  which places, and for each block of BLOCK documents the most frequent occurrence and the shortest text, from which
+  which places, and, if they are more than BLOCK, for each block of BLOCK documents the most frequent occurrence and the shortest text, from which
   a bound on the block's scores follows at any later average length.
 - `lexicon`: the terms of a segment, for what begins like a query's last word.
 - `docs`: hit_id, shard, number in the shard, length in tokens, group and attributes. It is written last; segments without
@@ -32,7 +32,7 @@ from larkspan.operators.ranking import top_k_per
 from larkspan.tables import dropped, materialize
 
 K1, B = 1.2, 0.75
-BLOCK, SHARD, BUCKETS = 128, 500_000, 32
+BLOCK, SHARD, BUCKETS = 128, 1_000_000, 32
 #: Bytes of terms that are sent to every task at most.
 SENT = 32 << 20
 #: Scores are rounded to six places before they are compared, so bounds must be this much below a cutoff to count as below.
@@ -103,7 +103,11 @@ class ShardBuilder:
         blocks = np.flatnonzero(within % BLOCK == 0)
         most = np.maximum.reduceat(times, blocks) if len(blocks) else times
         least = np.minimum.reduceat(lengths[docs], blocks) if len(blocks) else times
-        at_tokens, at_blocks = np.r_[first, len(codes)][starts], np.searchsorted(blocks, starts)
+        # A list of one block says its maxima itself.
+        count = np.diff(np.searchsorted(blocks, starts))
+        several = (count > 1)[of_term[blocks]]
+        at_tokens, at_blocks = np.r_[first, len(codes)][starts], np.r_[0, np.cumsum(np.where(count > 1, count, 0))]
+        most, least = most[several], least[several]
         lists = [packed(*x) for x in ((starts, docs), (starts, times), (at_tokens, place), (at_blocks, most), (at_blocks, least))]
         code = sum(width << 4 * n for n, (_, width) in enumerate(lists))
         return ids.take(order), lengths, pa.Table.from_batches(self.others).take(order), coded.dictionary, code, [column for column, _ in lists]
@@ -202,9 +206,9 @@ class Lists:
             else:
                 docs, times = self._list(keys[0])
                 if sum(len(rows) for _, rows in self.found[keys[0]]) == 1:
-                    if self.live[docs].all():
-                        (columns, rows), = self.found[keys[0]]
-                        yield number, docs, times, *(gathered(*columns[n], rows) for n in (3, 4))
+                    (columns, rows), = self.found[keys[0]]
+                    if len(most := gathered(*columns[3], rows)) and self.live[docs].all():
+                        yield number, docs, times, most, gathered(*columns[4], rows)
                         continue
                 else:
                     docs, at = np.unique(docs, return_inverse=True)
@@ -393,8 +397,8 @@ class InvertedIndex:
         """One row: number of texts and their average length in tokens."""
         return self.docs().agg(F.count("*").alias("n_texts"), F.avg("size").alias("avg_len"))
 
-    def postings(self) -> DataFrame:
-        """(hit_id, term, tf, doc_len)."""
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """(hit_id, term, tf, doc_len), of all terms or of the given ones (term)."""
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Rows of equal widths lie together, a shard's or several's.
@@ -404,7 +408,10 @@ class InvertedIndex:
                 row = pa.array(np.repeat(np.arange(len(batch)), np.diff(bounds)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(docs.astype(np.int32)), pa.array(times)], ["segment", "shard", "term", "doc", "tf"])
 
-        each = self.table("postings").select("segment", "shard", "term", "docs", "times", "widths").mapInArrow(each, "segment int, shard long, term string, doc int, tf long")
+        rows = self.table("postings")
+        if terms is not None:
+            rows = rows.join(terms.select("term").distinct().withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")), ["bucket", "term"])
+        each = rows.select("segment", "shard", "term", "docs", "times", "widths").mapInArrow(each, "segment int, shard long, term string, doc int, tf long")
         return each.join(self.docs(), ["segment", "shard", "doc"]).select("hit_id", "term", "tf", F.col("size").alias("doc_len"))
 
     def _terms(self, sent) -> DataFrame:

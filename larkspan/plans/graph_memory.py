@@ -8,6 +8,7 @@ from larkspan.catalog import query
 from larkspan.operators import graph, notes
 from larkspan.operators.ranking import top_k_per
 from larkspan.plans.bases import base, sub
+from larkspan.sources.stores import ScopedStores
 
 _S = "execution_mode, tenant_id, workspace_id"
 _KEYS = ["execution_mode", "tenant_id", "workspace_id"]
@@ -65,6 +66,24 @@ def join4_documents_of_entity(spark, d):
     return graph.documents_of(entities, links, docs, _names(spark, d)).select(*_KEYS, "asked", "doc_id", "count")
 
 
+_OWN_SCOPE = "{0}.execution_mode = 'hosted' AND {0}.tenant_id = 't1' AND {0}.workspace_id = 'w1'"
+
+
+@query("flt1_stored_scope", f"SELECT doc_id, source FROM {sub('docs')} d WHERE {_OWN_SCOPE.format('d')}")
+def flt1_stored_scope(spark, d):
+    """From a store that is partitioned by scope: the scan reads one scope's files."""
+    stores = ScopedStores(spark).save("docs", base(spark, d, "docs"))
+    return stores.of("hosted", "t1", "w1").table("docs").select("doc_id", "source")
+
+
+@query("join4_stored_scope", f"""
+SELECT n.asked, l.doc_id, l.count FROM (SELECT DISTINCT asked FROM {_ASKED}) n JOIN {_LINKS} l ON l.entity_id = sha1(lower(n.asked)) WHERE {_OWN_SCOPE.format('l')}""")
+def join4_stored_scope(spark, d):
+    """Documents and links of one scope, which meet bucket by bucket."""
+    stores = ScopedStores(spark).save("docs", base(spark, d, "docs").drop("content")).save("links", _graph(spark, d)[1])
+    return stores.of("hosted", "t1", "w1").documents_of(_names(spark, d).select("asked").distinct()).select("asked", "doc_id", "count")
+
+
 @query("join6_related_entities", f"""
 SELECT a.execution_mode, a.tenant_id, a.workspace_id, a.asked, m.entity_id, count(*) AS cooccurrence FROM {_ASKED} a
 JOIN {_LINKS} l ON l.entity_id = sha1(lower(a.asked)) AND l.tenant_id = a.tenant_id AND l.workspace_id = a.workspace_id AND l.execution_mode = a.execution_mode
