@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from larkspan.functions import urls
 from larkspan.functions.routing import category
@@ -31,16 +35,33 @@ def page_chain(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.select("url", *(F.when(good, F.col(c)).alias(c) for c in ("ordinal", "origin", "title", "content")), error.alias("error"))
 
 
-#: Character sets that are read as Latin 1; all others are read as UTF-8. Fixed values.
-LATIN = ("iso-8859-1", "latin1", "windows-1252")
+#: Names of character sets that Spark itself reads; fixed values. All others go by Python's codecs.
+LATIN, UTF = ("iso-8859-1", "latin1"), ("utf-8", "utf8", "us-ascii", "ascii")
+
+
+@F.pandas_udf(StringType())
+def _by_codec(raw: pd.Series, charset: pd.Series) -> pd.Series:
+    def text(data: bytes | None, name: str) -> str | None:
+        if data is None:
+            return None
+        try:
+            return bytes(data).decode(codecs.lookup(name).name, "replace")
+        except (LookupError, UnicodeError):
+            return bytes(data).decode("utf-8", "replace")
+
+    return pd.Series([text(d, n) for d, n in zip(raw, charset, strict=True)], dtype=object)
 
 
 def decoded(raw: Column, content_type: Column) -> Column:
-    """The text of a page's bytes: by the character set that its type names, else by what its first 2,048 bytes declare."""
+    """The text of a page's bytes: by the character set that its first 2,048 bytes declare, else by the one its type names,
+    else as UTF-8. Bytes that the set has not become U+FFFD; a set that nobody knows is taken for UTF-8."""
     named = lambda c: F.nullif(F.lower(F.regexp_extract(c, r"(?i)charset=[\"']?\s*([a-zA-Z0-9_-]+)", 1)), F.lit(""))
     head = F.decode(F.substring(raw, 1, 2048), "iso-8859-1")
-    declared = F.coalesce(named(F.coalesce(content_type, F.lit(""))), named(F.regexp_extract(head, r"(?is)<meta[^>]+charset[^>]*>", 0)))
-    return F.when(F.coalesce(declared.isin(*LATIN), F.lit(False)), F.decode(raw, "iso-8859-1")).otherwise(F.decode(raw, "utf-8"))
+    declared = F.coalesce(named(F.regexp_extract(head, r"(?is)<meta[^>]+charset[^>]*>", 0)), named(F.coalesce(content_type, F.lit(""))), F.lit("utf-8"))
+    other = ~declared.isin(*LATIN, *UTF)
+    # Only bytes of other sets cross to Python.
+    rest = _by_codec(F.when(other, raw), declared)
+    return F.when(declared.isin(*LATIN), F.decode(raw, "iso-8859-1")).when(other, rest).otherwise(F.decode(raw, "utf-8"))
 
 
 def reader_page(answer: Column, least: int = 50) -> Column:

@@ -398,14 +398,16 @@ def src20_result_pages(spark, d):
 _LATIN = "regexp_matches(text, '^[\\x00-\\xFF]*$')"
 
 
-@query("src18_charset_decode", f"SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '<meta charset=\"ISO-8859-1\">' ELSE '' END || text AS decoded FROM documents WHERE {_LATIN}")
+@query("src18_charset_decode", f"SELECT doc_id, CASE WHEN {_LATIN} AND doc_id % 3 = 1 THEN '<meta charset=\"ISO-8859-1\">' ELSE '' END || text AS decoded FROM documents")
 def src18_charset_decode(spark, d):
-    """Texts as bytes: every third in Latin 1 that the page declares, every third in Latin 1 that the type names, else UTF-8."""
-    docs, i = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\xFF]*$")), F.col("doc_id") % 3
-    page = F.when(i == 1, F.concat(F.lit('<meta charset="ISO-8859-1">'), "text")).otherwise(F.col("text"))
-    raw = F.when(i == 0, F.encode(page, "utf-8")).otherwise(F.encode(page, "iso-8859-1"))
-    kind = F.when(i == 2, "text/html; charset=latin1").otherwise("text/html")
-    return docs.select("doc_id", fetching.decoded(raw, kind).alias("decoded"))
+    """Texts as bytes: of those that Latin 1 can hold every third in it as the page declares, every third as the type names;
+    all others in UTF-8."""
+    latin, i = F.col("text").rlike(r"^[\x00-\xFF]*$"), F.col("doc_id") % 3
+    page = F.when(latin & (i == 1), F.concat(F.lit('<meta charset="ISO-8859-1">'), "text")).otherwise(F.col("text"))
+    narrow = latin & (i > 0)
+    raw = F.when(narrow, F.encode(F.when(narrow, page), "iso-8859-1")).otherwise(F.encode(page, "utf-8"))
+    kind = F.when(latin & (i == 2), "text/html; charset=latin1").otherwise("text/html")
+    return table(spark, d, "documents").select("doc_id", fetching.decoded(raw, kind).alias("decoded"))
 
 
 @query("src14_reader_pages", "SELECT doc_id, source AS title, text AS content FROM documents WHERE len(text) >= 50")

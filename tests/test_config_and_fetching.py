@@ -56,3 +56,22 @@ def test_api_answers(spark):
     rows = [(1, '{"results": [{"title": "<b>A</b>  x", "url": "https://a", "text": "long", "highlights": ["best"], "publishedDate": "2024-03-01T00:00:00Z"}, {"title": "", "url": "https://b"}, {"title": "C"}]}'), (2, "not json"), (3, '{"results": []}')]
     got = providers.from_api("exa", spark.createDataFrame(rows, "query_id long, body string")).collect()
     assert [(r.query_id, r.pos, r.title, r.snippet, r.published_at) for r in got] == [(1, 1, "A x", "best", "2024-03-01")]
+
+
+def test_bytes_are_decoded_by_what_the_page_declares(spark):
+    meta = lambda name, text: f'<meta charset="{name}">{text}'.encode(name)
+    rows = [
+        (1, meta("windows-1252", "“quoted” – 5 €"), "text/html; charset=utf-8", '<meta charset="windows-1252">“quoted” – 5 €'),
+        (2, meta("shift_jis", "日本語"), None, '<meta charset="shift_jis">日本語'),
+        (3, "žluť".encode("iso-8859-2"), "text/html; charset=ISO-8859-2", "žluť"),
+        (4, "é €".encode(), "text/html", "é €"),
+        (5, b"\x81x", "text/html; charset=windows-1252", "�x"),
+        (6, "é".encode(), "text/html; charset=nobody-knows", "é"),
+        (7, "Привет".encode("koi8-r"), "text/html; charset='koi8-r'", "Привет"),
+        (8, b"caf\xe9", "text/html; charset=latin1", "café"),
+        (9, None, None, None),
+        (10, b"", None, ""),
+    ]
+    frame = spark.createDataFrame([r[:3] for r in rows], "id long, raw binary, kind string")
+    got = {r.id: r.text for r in frame.select("id", fetching.decoded(F.col("raw"), F.col("kind")).alias("text")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
