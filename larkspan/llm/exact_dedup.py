@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import fresh, materialize, text_or_empty
+from larkspan.llm.common import discard, fresh, materialize, text_or_empty
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -35,30 +35,27 @@ def sorted_runs(rows: DataFrame, runs: int, largest: bool) -> DataFrame:
     return rows.groupBy(run.alias("run"), *KEY).agg((F.max if largest else F.min)(own).alias("best"), F.count("*").alias("group_size"))
 
 
-def merged(kept: DataFrame, sent: DataFrame, largest: bool) -> DataFrame:
-    """Two runs as one: both sides are sorted by the verified key (digest, length and a second, independent hash) and
-    merged; of an entry that both have, the better identifier and the sum stay."""
-    sent = sent.select("run", *KEY, F.col("best").alias("_best"), F.col("group_size").alias("_size"))
-    both = kept.hint("merge").join(sent, ["run", *KEY], "full_outer")
-    size = F.coalesce("group_size", F.lit(0)) + F.coalesce("_size", F.lit(0))
-    return both.select("run", *KEY, (F.greatest if largest else F.least)("best", "_best").alias("best"), size.alias("group_size"))
+def merged(level: DataFrame, stride: int, fan_in: int, largest: bool) -> DataFrame:
+    """One round: the runs at 1, 2, .. (fan_in - 1) strides behind a run are sent to it. Spark sorts what meets by the verified
+    key (digest, length and a second, independent hash) and folds neighbours; of an entry that several runs have, the best
+    identifier and the sum stay."""
+    behind = F.pmod(F.floor(F.col("run") / stride), F.lit(fan_in))
+    sent = level.withColumn("run", (F.col("run") - behind * stride).cast("int"))
+    return sent.groupBy("run", *KEY).agg((F.max if largest else F.min)("best").alias("best"), F.sum("group_size").alias("group_size"))
 
 
 def merge_tree(level: DataFrame, runs: int, fan_in: int, largest: bool) -> DataFrame:
-    """Rounds of a binomial tree: in the round of stride s, runs s, 2s, .. (fan_in - 1)s behind a run are sent to it and
-    merged with it. Each round ends in a table, so a lost executor costs no earlier round."""
+    """Rounds of a tree, each a merge of `fan_in` runs by one exchange. Each round ends in a table, so a lost executor costs no
+    earlier round."""
     stride = 1
     while stride < runs:
-        behind = F.pmod(F.floor(F.col("run") / stride), F.lit(fan_in))
-        out = level.filter(behind == 0)
-        for step in range(1, fan_in):
-            out = merged(out, level.filter(behind == step).withColumn("run", F.col("run") - F.lit(step * stride)), largest)
+        last, level = level, materialize(merged(level, stride, fan_in, largest), f"runs-{stride}")
+        discard(last)
         stride *= fan_in
-        level = materialize(out, f"runs-{stride}")
     return level.drop("run")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 16, fan_in: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 16, fan_in: int = 4) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept and text_sha256; texts are equal when identical.
 
     Defined results: a null text counts as empty and empty texts are one group; a null id stays only where its group has
