@@ -370,13 +370,15 @@ class InvertedIndex:
         gone = self.spark.read.parquet(f"{self.folder}/deleted").groupBy("hit_id").agg(F.max("before").alias("before"))
         return every.join(gone, (every["hit_id"] == gone["hit_id"]) & (every["segment"] < gone["before"]), "left_anti")
 
-    def extend(self, texts: DataFrame, attrs: tuple[str, ...] = ()) -> InvertedIndex:
-        """Add a segment of (hit_id, text[, grp] and attributes). A null text is empty; a null hit_id is left out; rows that
+    def extend(self, texts: DataFrame, attrs: tuple[str, ...] = (), spread: int | None = None) -> InvertedIndex:
+        """Add a segment of (hit_id, text[, grp] and attributes). Texts are worked on where they are read; `spread` deals them to
+        so many tasks first, for a table in fewer pieces than there are cores. A null text is empty; a null hit_id is left out; rows that
         repeat an id are texts of their own; an empty table adds nothing that can be found."""
         if taken := {a.lower() for a in attrs} & {"shard", "doc", "hit_id", "size", "grp", "segment", "bucket", "term", *_LISTS}:
             raise ValueError(f"the index has columns of its own named {sorted(taken)}")
         number = max(self.segments(), default=-1) + 1
-        rows = materialize(_segment_rows(texts.filter("hit_id IS NOT NULL"), list(attrs)), "segment")
+        known = texts.filter("hit_id IS NOT NULL")
+        rows = materialize(_segment_rows(known.repartition(spread) if spread else known, list(attrs)), "segment")
         postings = rows.filter("term IS NOT NULL").select("bucket", "term", "shard", "widths", *_LISTS)
         # A term that every shard has is spread over tasks by shard.
         spread = postings.repartition("bucket", F.col("shard") % 16).sortWithinPartitions("bucket", "term", "shard")
@@ -504,6 +506,6 @@ class InvertedIndex:
         return counted.mapInArrow(rank, f"query_id {query_type}, hit_id {hit_type}, score double")
 
 
-def build_index(texts: DataFrame, folder: str, attrs: tuple[str, ...] = ()) -> InvertedIndex:
+def build_index(texts: DataFrame, folder: str, attrs: tuple[str, ...] = (), spread: int | None = None) -> InvertedIndex:
     """A new index of (hit_id, text[, grp] and attributes) in a folder that has none."""
-    return InvertedIndex(texts.sparkSession, folder).extend(texts, attrs)
+    return InvertedIndex(texts.sparkSession, folder).extend(texts, attrs, spread)

@@ -24,9 +24,12 @@ def _files(spark: SparkSession, path: str) -> tuple:
 
 def documents_index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
     """The index of the documents by their ids, with their source. The first search of a session builds it."""
-    key = (spark.sparkContext.applicationId, _files(spark, f"{sf_dir}/documents.parquet"))
+    files = _files(spark, f"{sf_dir}/documents.parquet")
+    key = (spark.sparkContext.applicationId, files)
     if key not in _BUILT:
+        # A table of one file is read by few tasks, whose texts are dealt to all cores; it is small enough to be.
+        spread = spark.sparkContext.defaultParallelism if len(files) == 1 else None
         folder = f"{shared_root(spark)}/larkspan/index-{uuid.uuid4().hex}"
-        build_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hit_id"), "text", "source"), folder, ("source",))
+        build_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hit_id"), "text", "source"), folder, ("source",), spread)
         _BUILT[key] = folder
     return InvertedIndex(spark, _BUILT[key])
