@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspan.catalog import query, table
-from larkspan.operators import admission, limits
+from larkspan.operators import admission, limits, sketches
 from larkspan.plans.bases import base, sub
 
 _MS = "epoch_ms(ts)"
@@ -122,3 +122,10 @@ def fna1_array_functions(spark, d):
 def fna2_map_minimum(spark, d):
     low = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
     return low.select("user_id", F.col("m")["click"].alias("click"), F.col("m")["view"].alias("view"))
+
+
+@query("agg2_distinct_sketches")
+def agg2_distinct_sketches(spark, d):
+    """Users and values of each kind of event from sketches of its days; approximate, so tests hold the error."""
+    days = sketches.daily(table(spark, d, "events"), ["event_type"], "ts", "user_id", "value")
+    return sketches.estimates(sketches.merged(days, ["event_type"]), ["event_type"])
