@@ -339,6 +339,19 @@ def best_of(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, fl
     return hits[first], scores[first], looked
 
 
+def wanted(asked) -> Column:
+    """Whether a term is one that the phrases of a block name, or begins like the last word of one."""
+    exact = sorted({part for parts, prefix in asked.phrases for part in (parts[:-1] if prefix else parts)})
+    begun: dict[int, set[str]] = defaultdict(set)
+    for parts, prefix in asked.phrases:
+        if prefix:
+            begun[len(parts[-1])].add(parts[-1])
+    found = F.col("term").isin(exact)
+    for length, starts in begun.items():
+        found = found | F.substring("term", 1, length).isin(sorted(starts))
+    return found
+
+
 class InvertedIndex:
     """An index in a folder; see the module's text. `attrs` are columns that a search's filter may use."""
 
@@ -465,9 +478,12 @@ class InvertedIndex:
         none = lambda name, kind: F.lit(None).cast(kind).alias(name)
         places = F.col("places") if asked.longer else none("places", "binary")
         terms = materialize(self._terms(sent), "terms")
-        # Sent to every task while they are few, which also leaves out buckets; else both sides are sorted by term.
+        # Few terms are sent to every task, which also leaves out buckets; many are looked for by what the block asks, whose
+        # size is that of its queries. Neither way moves postings that nobody asked for.
         size = terms.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-        met = self.table("postings").join(F.broadcast(terms) if size <= SENT else terms, ["bucket", "term"]).select(shard, "term", "widths", "docs", "times", places, "most", "least", none("doc", "int"), none("hit_id", hit_type), none("size", "int"), none("grp", "string"), F.lit(False).alias("seen"))
+        postings = self.table("postings")
+        found = postings.join(F.broadcast(terms), ["bucket", "term"]) if size <= SENT else postings.filter(wanted(asked))
+        met = found.select(shard, "term", "widths", "docs", "times", places, "most", "least", none("doc", "int"), none("hit_id", hit_type), none("size", "int"), none("grp", "string"), F.lit(False).alias("seen"))
         heads = docs.select(shard, none("term", "string"), none("widths", "int"), *(none(c, "binary") for c in _LISTS), "doc", "hit_id", "size", "grp", seen.alias("seen"))
         n_texts, average, shards = docs.select("size", shard).agg(F.count("*"), F.avg("size"), F.count_distinct("shard")).first()
         # As many tasks as shards, and more where these are few and would meet in one.
