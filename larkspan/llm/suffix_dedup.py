@@ -1,10 +1,9 @@
-"""Removal of long repeated strings by bucket-pointer refinement.
+"""Removal of long repeated strings by buckets of windows that are refined where they may still split.
 
-A suffix array up to the order that matters here would sort every position of the corpus by its first `length` bytes.
-Bucket-pointer refinement does so by putting positions in buckets by their first q bytes and then refining a bucket by
-the bucket identifiers of later offsets, reusing what was refined before. This is that refinement, spread over a cluster:
-identifiers are content hashes, so that a pointer to a later offset needs no lookup, and only buckets that may still
-split go on to the next level.
+A suffix array up to the order that matters here would sort every position of the corpus by its first `length` bytes, as
+bucket-pointer refinement does round by round. Here identifiers of buckets are content hashes instead of ranks, so that
+the identifier of a later offset needs no lookup and no round that computes it, and only buckets that may still split go
+on to the next level.
 
 Level 1. Each window of `length` bytes belongs to its anchor, the position in it whose q-gram has the smallest hash.
 Equal windows have equal anchors at equal offsets, so one row stands for all windows of an anchor within a step of
@@ -12,8 +11,8 @@ offsets. Rows are bucketed by the bytes that all these windows share (the core).
 Level 2. A bucket of two or more rows is sorted by the bytes that its windows cover together (the hull). Rows with equal
 hulls repeat each other in every window and are settled; a row alone in its core's bucket is settled too: it repeats
 nothing. Rows that share the core but not the hull, at the ends of what repeats, go on.
-Level 3. Only their windows get rows of their own. Buckets of quarter-length strings are refined by the identifiers at
-later offsets to half-length and then to full-length strings; windows that meet there repeat.
+Level 3. Only their windows get rows of their own, whose identifier is made of those of its quarters; windows that meet there
+repeat.
 """
 
 from __future__ import annotations
