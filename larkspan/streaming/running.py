@@ -48,8 +48,12 @@ def start(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None
 
 
 def run(stream: DataFrame, folder: str, mode: str = "append") -> tuple[DataFrame, int]:
-    """(all rows so far, rows that came too late in this run) of a stream that is run to the end of what is there."""
+    """(all rows so far, rows that came too late in this run) of a stream that is run to the end of what is there. Without any
+    batch there are no rows."""
+    spark = stream.sparkSession
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    out.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(out)
     query = start(stream, folder, write_batches(folder, {"out": lambda batch: batch}), mode)
     query.awaitTermination()
     late = sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
-    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out"), late
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out"), late

@@ -11,10 +11,13 @@ from larkspan.tables import shared_root
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the Parquet files of a table; a bound on files a batch keeps back-pressure."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
+    """A stream of the Parquet files of a table, a file of that name or a folder of files; a bound on files a batch keeps
+    back-pressure."""
+    table = f"{folder}/{name}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(table)
+    parts = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(table).schema).option("pathGlobFilter", "*.parquet" if parts else f"{name}.parquet")
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(table if parts else folder)
 
 
 def _late(events: DataFrame, late: str | None) -> DataFrame:

@@ -165,3 +165,16 @@ def test_limiters_over_batches_and_a_restart_equal_those_of_a_table(spark, tmp_p
     assert same(bucket, limits.token_bucket(table, "k", "ms", "event_id", 5, 30), "allowed", "retry_ms")
     assert same(window, limits.sliding_limit(table, "k", "ms", "event_id", 4, 9000), "allowed")
     assert 0 < window.filter("allowed").count() < 240
+
+
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path):
+    from larkspan.streaming import windows
+
+    rows = spark.createDataFrame([(i, i) for i in range(20)], "event_id long, ms long")
+    rows.repartition(4).write.parquet(f"{tmp_path}/parts/events.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "one/events.parquet")
+    rows.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    for folder, expected in (("parts", 20), ("one", 20), ("none", 0)):
+        got, _ = running.run(windows.read_stream(spark, f"{tmp_path}/{folder}", "events"), f"file://{tmp_path}/run-{folder}")
+        assert got.count() == expected
