@@ -27,31 +27,32 @@ def asked_results(requests: DataFrame, results: DataFrame, expand: bool, year: i
     return rows.join(wanted, ["query_id", "variant"], "left_semi")
 
 
-def executed(requests: DataFrame, results: DataFrame, providers: list[str], strategy: str) -> DataFrame:
+def executed(requests: DataFrame, results: DataFrame, providers: list[str], strategy: str, repeats: bool = False) -> DataFrame:
     """(query_id, key, url, title, sources, provider_ranks, score) of one list of results for each request: of the first
     provider that has any, of all fused, or as the plan for the query's intent has it."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}")
     if strategy == "auto":
-        return execution.planned(requests, results, providers)
-    rows = execution.filtered(results.filter(F.col("provider").isin(*providers)), requests)
+        return execution.planned(requests, results, providers, repeats)
+    rows = execution.filtered(results.filter(F.col("provider").isin(*providers)), requests, repeats)
     return fusion.fuse_providers(rows if strategy == "aggregate" else execution.fallback(rows))
 
 
-def web_search(requests: DataFrame, results: DataFrame, providers: list[str], k: int, expand: bool = False, since: str | None = None, until: str | None = None, strategy: str = "fallback") -> DataFrame:
+def web_search(requests: DataFrame, results: DataFrame, providers: list[str], k: int, expand: bool = False, since: str | None = None, until: str | None = None, strategy: str = "fallback", repeats: bool = False) -> DataFrame:
     """(query_id, rank, key, url, title, sources, score) of requests (query_id, query, domain): dates and domain come first,
-    each variant of the query is executed by itself, and the variants' lists are fused by rank."""
+    each variant of the query is executed by itself, and the variants' lists are fused by rank. With `repeats`, a url that
+    a list has twice keeps both places."""
     rows = asked_results(requests, results, expand)
     if since or until:
         published = F.col("published_at") if "published_at" in rows.columns else F.lit(None).cast("string")
         rows = rows.filter(dates.within(published, since, until))
     if not expand:
-        found = executed(requests, rows.drop("variant"), providers, strategy)
+        found = executed(requests, rows.drop("variant"), providers, strategy, repeats)
     else:
         # A variant of a query is a request of its own.
         own = F.struct("query_id", "variant")
         each = requests.join(rows.select("query_id", "variant").distinct(), "query_id").withColumn("query_id", own).drop("variant")
-        lists = executed(each, rows.withColumn("query_id", own).drop("variant"), providers, strategy)
+        lists = executed(each, rows.withColumn("query_id", own).drop("variant"), providers, strategy, repeats)
         lists = with_rank(lists, ["query_id"], [F.col("score").desc(), "key"], "pos")
         titled = first_per(lists.select("query_id.query_id", "query_id.variant", "key", "title", "pos"), ["query_id", "key"], ["variant", "pos"])
         fused = fusion.fuse_variants(lists.select("query_id.query_id", "query_id.variant", "pos", "url", "sources", "provider_ranks"))
