@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -47,10 +47,10 @@ def shingle_hashes(text: bytes, n: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
 
 
-def fingerprint(text: bytes | None, n: int) -> int:
-    """Bit j is 1 if set in over half of the hashes; no words give 0."""
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bit j is 1 if set in over half of the hashes; none give 0."""
     ones, total = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes(text or b"", n):
+    for hashes in parts:
         for i in range(0, len(hashes), 8192):
             part = hashes[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
             ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -58,6 +58,10 @@ def fingerprint(text: bytes | None, n: int) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, n: int) -> int:
+    return majority(shingle_hashes(text or b"", n))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(doc, fp): fp is the 64 bits as a signed long."""
 

@@ -1,4 +1,7 @@
-"""Exact similarity join: texts whose sets of word shingles have a Jaccard similarity of at least 4/5, as components."""
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 4/5, as components.
+
+SimHash fingerprints that link name the first candidates, whole sets decide, and an exact join finds the rest.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm import simhash
 from larkspan.llm.common import discard, materialize
 from larkspan.llm.components import components
-from larkspan.llm.simhash import SEED, shingle_hashes
+from larkspan.llm.simhash import SEED, majority, shingle_hashes
 
 #: The least similarity, as a fraction.
 PART, WHOLE = 4, 5
@@ -28,10 +32,14 @@ SLOT_BITS = 22
 SAMPLE, LAST = 4096, 1 << 16
 
 
+def distinct_of(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct hashes, ascending."""
+    return np.unique(np.concatenate(parts) & np.uint64((1 << 8 * WIDTH) - 1)) if parts else np.empty(0, np.uint64)
+
+
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """The distinct hashes of the text's shingles, ascending."""
-    parts = list(shingle_hashes(text or b"", n))
-    return np.unique(np.concatenate(parts) & np.uint64((1 << 8 * WIDTH) - 1)) if parts else np.empty(0, np.uint64)
+    return distinct_of(list(shingle_hashes(text or b"", n)))
 
 
 def packed(shingles: np.ndarray) -> bytes:
@@ -110,15 +118,18 @@ def frequent(source: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(source: DataFrame, n: int, common: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """(doc, node, size, slot, sketch, keys) of (doc, text, slot): the set's digest, size, sketch and prefix."""
+    """(doc, node, size, slot, fp, sketch, keys) of (doc, text, slot): the set's digest, size, sketch and prefix, and the
+    text's fingerprint."""
     sent = source.sparkSession.sparkContext.broadcast((common, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, weight = sent.value
         for batch in batches:
-            nodes, sizes, sketches, keys, first, held = [], [], [], [], 0, 0
+            nodes, sizes, fps, sketches, keys, first, held = [], [], [], [], [], 0, 0
             for i, text in enumerate(batch.column(1).cast(pa.binary()), 1):
-                found = shingle_set(text.as_py(), n)
+                parts = list(shingle_hashes(text.as_py() or b"", n))
+                found = distinct_of(parts)
+                fps.append(majority(parts))
                 nodes.append(node_of(found))
                 sizes.append(len(found))
                 sketches.append(sketch(found))
@@ -126,11 +137,11 @@ def marked(source: DataFrame, n: int, common: np.ndarray, weight: np.ndarray) ->
                 held += len(keys[-1])
                 if held > 500_000 or i == batch.num_rows:
                     part = batch.slice(first, i - first)
-                    columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), part.column(2), pa.array(sketches, pa.binary()), _lists(keys)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc", "node", "size", "slot", "sketch", "keys"])
-                    nodes, sizes, sketches, keys, first, held = [], [], [], [], i, 0
+                    columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), part.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), _lists(keys)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "node", "size", "slot", "fp", "sketch", "keys"])
+                    nodes, sizes, fps, sketches, keys, first, held = [], [], [], [], [], i, 0
 
-    return source.select("doc", "text", "slot").mapInArrow(run, "doc long, node long, size int, slot int, sketch binary, keys array<long>")
+    return source.select("doc", "text", "slot").mapInArrow(run, "doc long, node long, size int, slot int, fp long, sketch binary, keys array<long>")
 
 
 def shingle_sets(source: DataFrame, n: int, slots: np.ndarray) -> DataFrame:
@@ -295,6 +306,19 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, source: DataFrame, n: int) ->
     return out
 
 
+def fingerprinted(marks: DataFrame, max_bits: int, most: int) -> DataFrame:
+    """(u, v) for each node u whose fingerprint hangs together, by links of at most `max_bits` bits, with that of others: v
+    is their leader, the one with the most texts."""
+    texts = materialize(marks.groupBy("node", "fp").agg(F.count("*").alias("n")), "fingerprints")
+    root = components(simhash.linked(texts.select("fp").distinct(), max_bits, most)).withColumnRenamed("u", "fp")
+    rows = texts.join(root, "fp", "left").select("node", "n", F.coalesce("v", "fp").alias("root"))
+    leaders = rows.groupBy("root").agg(F.max(F.struct("n", "node")).alias("leader"), F.count("*").alias("of")).filter("of > 1")
+    pairs = rows.join(leaders, "root").select(F.col("node").alias("u"), F.col("leader.node").alias("v"))
+    out = materialize(pairs.filter("u <> v").distinct(), "near")
+    discard(texts)
+    return out
+
+
 def labelled(met: DataFrame, label: DataFrame | None) -> DataFrame:
     """(key, size, node, label): label tells the component, a node without links is its own."""
     if label is None:
@@ -320,10 +344,11 @@ def led(met: DataFrame, label: DataFrame | None, nodes: DataFrame, number: int)
     return promising(pairs, nodes).groupBy("u").agg(F.min_by("v", F.struct("off", "v")).alias("v"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, most: int = 1024) -> DataFrame:
     """One row per row of `docs`: id and component_id, the smallest id reachable by pairs with a similarity of 4/5 or more.
 
-    Prefixes bring together every such pair, and the whole sets decide. In a few rounds each node is compared with one of
+    First come those whose SimHash fingerprints link: each is compared with the leader of its fingerprints' component.
+    Fingerprints miss many such pairs; prefixes bring together every one, and the whole sets decide. In a few rounds each node is compared with one of
     the leaders of its keys, the closest by sketch. All other pairs are compared only if they are across the components
     found by then, so a large group of copies is not paired off. Texts without words are equal to one another; a component without any id that isn't null has a null component_id.
     """
@@ -334,10 +359,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("slot").alias("slot"))
     keyed = marks.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
     met = materialize(keyed.mapInArrow(_meet, "key long, size int, node long"), "met")
-    edges, label, done = None, None, [met]
-    for number in range(ROUNDS):
-        found = confirmed(led(met, label, nodes, number), nodes, source, shingle)
+    near = fingerprinted(marks, max_bits, most)
+    edges, label, done = None, None, [met, near]
+    for number in range(-1, ROUNDS):
+        pairs = led(met, label, nodes, number) if number >= 0 else promising(near, nodes).select("u", "v")
+        found = confirmed(pairs, nodes, source, shingle)
         if found.isEmpty():
+            if number < 0:
+                continue
             break
         edges = found if edges is None else edges.unionAll(found)
         label = materialize(components(edges).select(F.col("u").alias("node"), F.col("v").alias("label")), "labels")

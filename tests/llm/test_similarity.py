@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from larkspan.llm import similarity
+from larkspan.llm import simhash, similarity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,3 +77,27 @@ def test_pipeline_drops_every_near_copy(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def test_fingerprints_name_the_first_candidates(spark, tmp_path, monkeypatch):
+    """Of each three texts the first two differ in a word of 400, which leaves most fingerprints within four bits."""
+    rng = random.Random(3)
+    rows, asked = [], []
+    for i in range(12):
+        words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:-1], "end"])), (3 * i + 2, " ".join(rng.sample(words, 400)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    named = similarity.fingerprinted
+
+    def spy(*args):
+        asked.append(named(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(similarity, "fingerprinted", spy)
+    monkeypatch.setattr(similarity, "discard", lambda *tables: None)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({3 * i for i in range(12)} | {3 * i + 2 for i in range(12)})
+    node = {similarity.node_of(similarity.shingle_set(t.encode(), 5)): i for i, t in rows}
+    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    found = {tuple(sorted((node[r.u], node[r.v]))) for r in asked[0].collect()}
+    assert found == {(3 * i, 3 * i + 1) for i in range(12) if (prints[3 * i] ^ prints[3 * i + 1]).bit_count() <= 4} and len(found) >= 6
