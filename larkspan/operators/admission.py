@@ -8,7 +8,11 @@ depends on earlier decisions, across keys that don't contain one another, so no
 2. Only the others are contested, and only under the rules whose bound is reached. What they meet of the certain ones is
    a sum again.
 3. Contested invocations that may meet each other, in time and under a rule whose bound is reached, make a component. In
-   each, and nowhere else, decisions are taken one after the other.
+   each, and nowhere else, decisions are taken one after the other. What is linked are stretches of a rule and key, by the
+   invocations that are in several: far fewer than invocations.
+
+Joins by the number of a row are merged: written, numbers take so little that a planner would send millions of them to
+every task.
 
 So a limit over all that isn't reached joins nothing, and a rule that is reached now and then joins only what happens at
 such times. A limit over all that is reached without end makes one component of all contested ones, whose decisions do
@@ -138,28 +142,30 @@ def admit(events: DataFrame, rules: list[Rule], at: str = "at", end: str | None
     rows = every.filter("at IS NOT NULL")
     width = slice_width(rows, "at", rows_in_slice)
     limits = F.create_map(*[x for n, r in enumerate(rules) for x in (F.lit(n), F.lit(r.limit))])
-    keyed = _keyed(rows, rules)
+    # Keys of one hash only raise a bound.
+    keyed = _keyed(rows, rules).withColumn("key", F.xxhash64("key"))
     bound = materialize(_met(keyed, keyed, width).filter(F.col("met") >= limits[F.col("rule")]).select("row", "rule"), "bounds")
-    contested = materialize(rows.join(bound.select("row").distinct(), "row", "left_semi"), "contested")
-    decided = _decided(rows.join(contested, "row", "left_anti"), contested, bound, rules, width)
+    contested = materialize(rows.join(bound.select("row").distinct().hint("merge"), "row", "left_semi"), "contested")
+    decided = _decided(rows.join(contested.hint("merge"), "row", "left_anti"), contested, bound, rules, width)
     known = F.when(F.col("at").isNotNull(), F.coalesce("decision", F.lit(ACCEPTED)))
-    return every.join(decided, "row", "left").select(F.col("id").alias(ident), known.alias("decision"))
+    return every.join(decided.hint("merge"), "row", "left").select(F.col("id").alias(ident), known.alias("decision"))
 
 
 def _decided(certain: DataFrame, contested: DataFrame, bound: DataFrame, rules: list[Rule], width: int) -> DataFrame:
     """(row, decision) of contested rows."""
     own = _keyed(contested, rules)
-    asking = own.join(bound, ["row", "rule"])
+    asking = own.join(bound.hint("merge"), ["row", "rule"])
     places = asking.select("rule", "key").distinct()
     met = _met(_keyed(certain, rules).join(places, ["rule", "key"], "left_semi"), asking, width)
     numbers = F.map_from_entries(F.collect_list(F.struct("rule", "met")))
-    rows = contested.join(met.groupBy("row").agg(numbers.alias("m")), "row").withColumn("met", F.array(*[F.col("m")[n] for n in range(len(rules))]))
-    # Members of a stretch of a rule and key may meet; a stretch of one alone joins nothing.
+    rows = contested.join(met.groupBy("row").agg(numbers.alias("m")).hint("merge"), "row").withColumn("met", F.array(*[F.col("m")[n] for n in range(len(rules))]))
+    # Members of a stretch of a rule and key may meet. Stretches of one hash only join components.
     members = stretched(own.join(places, ["rule", "key"], "left_semi"), ["rule", "key"], "at", ["id", "row"], F.col("until"), "begun", width)
-    heads = members.groupBy("rule", "key", "begun").agg(F.min("row").alias("head"))
-    joined = members.join(heads, ["rule", "key", "begun"]).select(F.col("row").alias("a"), F.col("head").alias("b"))
-    component = linked(joined)
-    grouped = rows.join(component, rows["row"] == component["node"], "left").withColumn("component", F.coalesce("smallest", "row"))
+    in_stretch = F.array_sort(F.collect_set(F.xxhash64("rule", "key", "begun"))).alias("in")
+    within = materialize(members.groupBy("row").agg(in_stretch).select("row", F.col("in")[0].alias("node"), F.slice("in", 2, len(rules)).alias("others")), "stretches")
+    component = linked(within.select(F.col("node").alias("a"), F.explode("others").alias("b")))
+    named = within.drop("others").join(component, "node", "left").select("row", F.coalesce("smallest", "node").alias("component"))
+    grouped = rows.join(named.hint("merge"), "row")
     ordered = grouped.select("component", "at", "end", "id", "row", "keys", "met").repartition("component").sortWithinPartitions("component", "at", "id", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
